@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cantus.llm import nearest, patterns, runs, segments, topn
+from cantus.llm import leaks, nearest, patterns, runs, segments, tokens, topn
 from cantus.plans.storage import table
 
 
@@ -41,7 +41,27 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return nearest.annotations_to_notes(table(spark, d, "gt_annotations"), table(spark, d, "other_note_tags")).select("annotation_id", "note_id")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_events, p2_found, p2_support, p3_found, p4_found)}
+def p6_ids(spark: SparkSession, d: str) -> DataFrame:
+    return tokens.encode(table(spark, d, "documents"))
+
+
+def p6_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """Documents whose ids do not give the text again: none."""
+    docs = table(spark, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    back = tokens.decode(tokens.encode(docs)).withColumnRenamed("text", "decoded")
+    return docs.join(back, "doc_id").groupBy().agg(F.count("*").alias("documents"), F.count_if(F.col("text") != F.col("decoded")).alias("changed"))
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return leaks.leaks(table(spark, d, "documents"), table(spark, d, "eval_items")).select("item_id", "doc_id")
+
+
+def p7_leaks(spark: SparkSession, d: str) -> DataFrame:
+    """Every leak with the length of its passage and the words that match whole."""
+    return leaks.leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_events, p2_found, p2_support, p3_found, p4_found, p6_ids, p6_round_trip, p7_found, p7_leaks)}
 
 # One row per segment: start, set (as the sorted text of its pitch classes) and class.
 _SEGMENTS = """
@@ -72,6 +92,7 @@ songs AS (SELECT count(DISTINCT song) AS songs FROM seg)
 """
 
 ORACLE: dict[str, str] = {
+    "p6_round_trip": "SELECT count(*) AS documents, CAST(0 AS BIGINT) AS changed FROM documents",
     "p1_found": _RUNS + "SELECT song, CAST(arg_min(segment_index, start_sec) AS BIGINT) AS first_index, CAST(arg_max(segment_index, start_sec) AS BIGINT) AS last_index FROM grouped WHERE pcs IS NOT NULL GROUP BY song, run HAVING count(*) >= 2",
     "p1_events": _RUNS + """SELECT song, CAST(arg_min(segment_index, start_sec) AS BIGINT) AS first_index, CAST(arg_max(segment_index, start_sec) AS BIGINT) AS last_index, max(cls) AS class_name, count(*) AS n_segments,
        round(min(start_sec), 6) AS start_sec, round(max(end_sec), 6) AS end_sec, CAST(round(sum(coalesce(duration, end_sec - start_sec, 0)) * 1e6) AS BIGINT) AS sounding_us FROM grouped GROUP BY song, run""",
