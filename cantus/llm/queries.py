@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cantus.llm import leaks, nearest, patterns, runs, segments, tokens, topn
+from cantus.llm import cuts, leaks, nearest, patterns, runs, segments, tokens, topn
 from cantus.plans.storage import table
 
 
@@ -61,7 +61,15 @@ def p7_leaks(spark: SparkSession, d: str) -> DataFrame:
     return leaks.leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_events, p2_found, p2_support, p3_found, p4_found, p6_ids, p6_round_trip, p7_found, p7_leaks)}
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return cuts.found(table(spark, d, "documents"))
+
+
+def p8_by_source(spark: SparkSession, d: str) -> DataFrame:
+    return cuts.by_source(table(spark, d, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_events, p2_found, p2_support, p3_found, p4_found, p6_ids, p6_round_trip, p7_found, p7_leaks, p8_found, p8_by_source)}
 
 # One row per segment: start, set (as the sorted text of its pitch classes) and class.
 _SEGMENTS = """
