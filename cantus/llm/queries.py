@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cantus.llm import cuts, leaks, nearest, patterns, runs, segments, tokens, topn
+from cantus.llm import cuts, leaks, linkage, nearest, patterns, runs, segments, tokens, topn
 from cantus.plans.storage import table
 
 
@@ -41,6 +41,14 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return nearest.annotations_to_notes(table(spark, d, "gt_annotations"), table(spark, d, "other_note_tags")).select("annotation_id", "note_id")
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return linkage.same_recordings(table(spark, d, "k_indie_songs"), table(spark, d, "liked_songs")).select("track_id", "liked_id")
+
+
+def p5_confidence(spark: SparkSession, d: str) -> DataFrame:
+    return linkage.same_recordings(table(spark, d, "k_indie_songs"), table(spark, d, "liked_songs"))
+
+
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokens.encode(table(spark, d, "documents"))
 
@@ -69,7 +77,7 @@ def p8_by_source(spark: SparkSession, d: str) -> DataFrame:
     return cuts.by_source(table(spark, d, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_events, p2_found, p2_support, p3_found, p4_found, p6_ids, p6_round_trip, p7_found, p7_leaks, p8_found, p8_by_source)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_events, p2_found, p2_support, p3_found, p4_found, p5_found, p5_confidence, p6_ids, p6_round_trip, p7_found, p7_leaks, p8_found, p8_by_source)}
 
 # One row per segment: start, set (as the sorted text of its pitch classes) and class.
 _SEGMENTS = """
