@@ -2,9 +2,5 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
+from cantus.plans import correction, harmony, sequences  # noqa: F401 - registration
+from cantus.plans.registry import ORACLE, QUERIES  # noqa: F401
