@@ -14,14 +14,18 @@ from pyspark.sql import functions as F
 BLOCK_US = 60_000_000
 
 
-def with_context(df: DataFrame, group: str, at: str, tie: str, value: Column, before: int = 0, after: int = 0, block_us: int = BLOCK_US) -> DataFrame:
-    """Adds pos (0-based place in the group by ``at`` then ``tie``), prev and next (arrays of ``value``, nearest first)."""
+def with_context(df: DataFrame, group: str, at: str, tie: str, value: Column, before: int = 0, after: int = 0, block_us: int = BLOCK_US, running: Column | None = None) -> DataFrame:
+    """Adds pos (0-based place in the group by ``at`` then ``tie``), prev and next (arrays of ``value``, nearest first),
+    and with ``running`` its sum up to and with the row."""
     df = df.withColumn("_block", F.floor(F.col(at) / block_us).cast("bigint")).withColumn("_value", value)
     order = [F.col(at), F.col(tie)]
     inside = Window.partitionBy(group, "_block").orderBy(*order)
     reach = max(before, after)
     key = F.struct(*order)
     sides = [F.count("*").alias("_n")]
+    if running is not None:
+        df = df.withColumn("_add", running)
+        sides.append(F.sum("_add").alias("_sum"))
     if reach:
         ranked = df.withColumn("_first", F.row_number().over(inside)).withColumn("_last", F.count("*").over(Window.partitionBy(group, "_block")) - F.col("_first") + 1)
         edge = lambda c: F.array_sort(F.collect_list(F.when(F.col(c) <= reach, F.struct(key.alias("k"), F.col("_value").alias("v")))))
@@ -35,6 +39,8 @@ def with_context(df: DataFrame, group: str, at: str, tie: str, value: Column, be
         carried.append(F.slice(F.reverse(F.transform(F.flatten(F.collect_list("_tails").over(along.rowsBetween(-before, -1))), lambda x: x.v)), 1, before).alias("_carry_prev"))
     if after:
         carried.append(F.slice(F.transform(F.flatten(F.collect_list("_heads").over(along.rowsBetween(1, after))), lambda x: x.v), 1, after).alias("_carry_next"))
+    if running is not None:
+        carried.append(F.coalesce(F.sum("_sum").over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_carry_sum"))
     carry = blocks.select(group, "_block", *carried)
     out = df.withColumn("_rank", F.row_number().over(inside) - 1)
     if before:
@@ -46,7 +52,9 @@ def with_context(df: DataFrame, group: str, at: str, tie: str, value: Column, be
         out = out.withColumn("prev", F.slice(F.concat(F.transform("_prev", lambda x: x.v), "_carry_prev"), 1, before))
     if after:
         out = out.withColumn("next", F.slice(F.concat(F.transform("_next", lambda x: x.v), "_carry_next"), 1, after))
-    return out.drop("_block", "_value", "_rank", "_offset", "_prev", "_next", "_carry_prev", "_carry_next")
+    if running is not None:
+        out = out.withColumn("running", F.sum("_add").over(inside.rowsBetween(Window.unboundedPreceding, 0)) + F.col("_carry_sum"))
+    return out.drop("_add", "_carry_sum", "_block", "_value", "_rank", "_offset", "_prev", "_next", "_carry_prev", "_carry_next")
 
 
 def interval_as_of(points: DataFrame, intervals: DataFrame, payload: list[str], block_us: int = BLOCK_US) -> DataFrame:
