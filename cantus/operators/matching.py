@@ -45,26 +45,38 @@ def maximum_matching(edges: dict[int, list[int]]) -> dict[int, int]:
     return owner
 
 
+PIECES = 256  # pieces in one Python call; each is small, so a call is bounded too
+
+
+def _by_piece(pdf: pd.DataFrame) -> list[tuple[list[tuple], list[tuple]]]:
+    """(reference rows, estimated rows) of every piece, as (onset, offset, pitch)."""
+    out: dict[int, tuple[list, list]] = {}
+    columns = [pdf[c].tolist() if c in pdf else [None] * len(pdf) for c in ("piece", "side", "onset_us", "offset_us", "pitch")]
+    for piece, side, on, off, pitch in zip(*columns):
+        out.setdefault(piece, ([], []))[side].append((on, off, pitch))
+    return [(sorted(a, key=lambda x: x[0]), sorted(b, key=lambda x: x[0])) for a, b in out.values()]
+
+
 def _match(tolerance_us: int, pitched: bool, ratio: float | None):
-    def piece(pdf: pd.DataFrame) -> pd.DataFrame:
-        ref, est = pdf[pdf["side"] == 0].to_dict("records"), pdf[pdf["side"] == 1].to_dict("records")
-        edges = {}
-        for i, r in enumerate(ref):
-            near = [j for j, e in enumerate(est) if abs(e["onset_us"] - r["onset_us"]) <= tolerance_us and (not pitched or e["pitch"] == r["pitch"])]
-            if ratio is not None:
-                near = [j for j in near if abs(est[j]["offset_us"] - r["offset_us"]) <= max(tolerance_us, ratio * (r["offset_us"] - r["onset_us"]))]
-            if near:
-                edges[i] = near
-        return pd.DataFrame({"song": [pdf["song"].iloc[0]], "matched": [len(maximum_matching(edges))]})
+    def group(pdf: pd.DataFrame) -> pd.DataFrame:
+        matched = 0
+        for ref, est in _by_piece(pdf):
+            edges = {}
+            for i, (on, off, pitch) in enumerate(ref if est else []):
+                near = [j for j, e in enumerate(est) if abs(e[0] - on) <= tolerance_us and (not pitched or e[2] == pitch) and (ratio is None or abs(e[1] - off) <= max(tolerance_us, ratio * (off - on)))]
+                if near:
+                    edges[i] = near
+            matched += len(maximum_matching(edges))
+        return pd.DataFrame({"song": [pdf["song"].iloc[0]], "matched": [matched]})
 
-    return piece
+    return group
 
 
 def matched_counts(reference: DataFrame, estimate: DataFrame, tolerance_us: int = 50_000, pitched: bool = False, ratio: float | None = None) -> DataFrame:
     """song, n_ref, n_est, matched: the size of a maximum one-to-one matching of (song, id, onset_us, offset_us, pitch)."""
     cols = ("song", "id", "onset_us", "offset_us", "pitch")
     both = reference.select(*cols).withColumn("side", F.lit(0)).unionByName(estimate.select(*cols).withColumn("side", F.lit(1)))
-    hits = pieces(both, tolerance_us).groupBy("song", "piece").applyInPandas(_match(tolerance_us, pitched, ratio), "song string, matched bigint")
+    hits = pieces(both, tolerance_us).groupBy("song", F.expr(f"piece div {PIECES}")).applyInPandas(_match(tolerance_us, pitched, ratio), "song string, matched bigint")
     sizes = both.groupBy("song").agg(F.count_if(F.col("side") == 0).alias("n_ref"), F.count_if(F.col("side") == 1).alias("n_est"))
     return sizes.join(hits.groupBy("song").agg(F.sum("matched").alias("matched")), "song")
 
@@ -76,29 +88,26 @@ def f_measure(counts: DataFrame) -> DataFrame:
 
 
 def _greedy(tolerance_us: int):
-    def piece(pdf: pd.DataFrame) -> pd.DataFrame:
+    def group(pdf: pd.DataFrame) -> pd.DataFrame:
         gained = lost = kept = 0
-        for _, g in pdf.groupby("pitch"):
-            old, new = sorted(g[g["side"] == 0]["onset_us"]), sorted(g[g["side"] == 1]["onset_us"])
+        for old, new in _by_piece(pdf):
             free = [True] * len(new)
-            for t in old:
-                best = None
-                for j, u in enumerate(new):
-                    if free[j] and abs(u - t) < tolerance_us and (best is None or abs(u - t) < abs(new[best] - t)):
-                        best = j
-                if best is None:
-                    lost += 1
+            for on, _, pitch in old:
+                near = [(abs(e[0] - on), j) for j, e in enumerate(new) if free[j] and e[2] == pitch and abs(e[0] - on) < tolerance_us]
+                if near:
+                    free[min(near)[1]] = False
+                    kept += 1
                 else:
-                    free[best], kept = False, kept + 1
+                    lost += 1
             gained += sum(free)
         return pd.DataFrame({"song": [pdf["song"].iloc[0]], "kept": [kept], "lost": [lost], "gained": [gained]})
 
-    return piece
+    return group
 
 
 def note_changes(old: DataFrame, new: DataFrame, tolerance_us: int = 50_000) -> DataFrame:
     """song, kept, lost, gained: old notes in time order each take the nearest free new note of their pitch (ties: the earlier)."""
     cols = ("song", "id", "onset_us", "pitch")
     both = old.select(*cols).withColumn("side", F.lit(0)).unionByName(new.select(*cols).withColumn("side", F.lit(1)))
-    hits = pieces(both, tolerance_us).groupBy("song", "piece").applyInPandas(_greedy(tolerance_us), "song string, kept bigint, lost bigint, gained bigint")
+    hits = pieces(both, tolerance_us).groupBy("song", F.expr(f"piece div {PIECES}")).applyInPandas(_greedy(tolerance_us), "song string, kept bigint, lost bigint, gained bigint")
     return hits.groupBy("song").agg(*(F.sum(c).alias(c) for c in ("kept", "lost", "gained")))

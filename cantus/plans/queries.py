@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from cantus.plans import alignment, correction, evaluation, harmony, sequences, windows  # noqa: F401 - registration
+from cantus.plans import alignment, correction, evaluation, harmony, misc, sequences, windows  # noqa: F401 - registration
 from cantus.plans.registry import ORACLE, QUERIES  # noqa: F401
