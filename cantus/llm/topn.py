@@ -113,4 +113,4 @@ def review_first(candidates: DataFrame, n: int = 5) -> DataFrame:
     # at most n rows a song from here on
     ordered = best.groupBy("group_key").agg(F.reverse(F.array_sort(F.collect_list(F.struct("code", "item_key")))).alias("r"))
     placed = ordered.select(F.col("group_key").alias("song"), F.posexplode("r").alias("at", "x"))
-    return placed.select("song", (F.col("at") + 1).cast("bigint").alias("place"), F.col("x.item_key").alias("segment_index"), F.col("x.code")[0].alias("density"), F.col("x.code")[1].cast("bigint").alias("n_notes"))
+    return placed.select("song", (F.col("at") + 1).cast("bigint").alias("place"), F.col("x.item_key").alias("segment_index"), F.col("x.code")[0].alias("density"), F.col("x.code")[1].try_cast("bigint").alias("n_notes"))
