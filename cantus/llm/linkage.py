@@ -218,7 +218,7 @@ def link(left: DataFrame, right: DataFrame, least: float = 0.4, keep: float = 0.
     rarity = lk.groupBy("key").agg(F.countDistinct("left_id").alias("n"))
     total = lefts.agg(F.countDistinct("row_id").alias("total"))  # one row
     shared = lk.join(rk, "key").join(rarity, "key").crossJoin(F.broadcast(total))
-    edges = shared.groupBy("left_id", "right_id", "left_reading", "right_reading").agg(F.sum(F.log((F.col("total") + 1) / F.col("n"))).alias("weight"))
+    edges = cut(shared.groupBy("left_id", "right_id", "left_reading", "right_reading").agg(F.sum(F.log((F.col("total") + 1) / F.col("n"))).alias("weight")))
     best_l = edges.groupBy("left_id").agg(F.max("weight").alias("top_l"))
     best_r = edges.groupBy("right_id").agg(F.max("weight").alias("top_r"))
     edges = edges.join(best_l, "left_id").join(best_r, "right_id").where((F.col("weight") >= keep * F.col("top_l")) | (F.col("weight") >= keep * F.col("top_r")))
