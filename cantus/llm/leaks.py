@@ -23,6 +23,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cantus.plans.storage import spread
+
 Q = 5
 BAND = 32
 BLOCK_CHARS = 2_000_000  # of item text in one block's index, about 16 bytes each
@@ -214,7 +216,7 @@ def leaks(documents: DataFrame, items: DataFrame, words: int = 14, changed: int
     parts = items.mapInPandas(_sentences, "item_id bigint, k int, sentence string").where("sentence <> ''")
     shared = parts.groupBy("sentence").agg(F.countDistinct("item_id").alias("n")).where(F.col("n") >= shared_by)
     marked = parts.join(shared, "sentence", "left").groupBy("item_id").agg(F.array_sort(F.collect_list(F.struct("k", "sentence", F.col("n").isNotNull().alias("shared")))).alias("s"))
-    docs = documents.select("doc_id", "text").where("text is not null and doc_id is not null")
+    docs = spread(documents.select("doc_id", "text").where("text is not null and doc_id is not null"))
     found, block, held = [], [], 0
 
     def search() -> DataFrame:
