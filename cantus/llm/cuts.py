@@ -11,7 +11,8 @@ the length histogram), and a text at a limit gets the posterior of being censore
 Endings: a text that stops without a sentence end is open unless its last line is a
 known closing: a line that recurs at the end of texts and that little else begins
 with, a list whose last item is whole, or a row of tags that exist elsewhere. All
-these statistics are counted over all documents.
+these statistics are counted over all different texts, so copies of a text are no
+evidence for it; each text is judged once a source, and its documents share the verdict.
 """
 
 from __future__ import annotations
@@ -35,9 +36,19 @@ def _shape(text: Column) -> Column:
     return F.regexp_replace(F.lower(F.regexp_replace(text, CHORD, "K0")), r"\d+", "0")
 
 
-def _ends(documents: DataFrame) -> DataFrame:
+def _key(text: Column) -> Column:
+    return F.unhex(F.sha2(text, 256))
+
+
+def _texts(documents: DataFrame) -> DataFrame:
+    """key, text, sources: every different text, with the sources of its documents (none where no document has an id)."""
+    source = F.when(F.col("doc_id").isNotNull(), F.coalesce("source", F.lit("")))
+    return documents.where("text is not null").groupBy("text").agg(F.collect_set(source).alias("sources")).select(_key(F.col("text")).alias("key"), "text", "sources")
+
+
+def _ends(texts: DataFrame) -> DataFrame:
     """Per text: its last line or sentence (``line``), whether an omission mark follows it, and how it ends."""
-    df = documents.select("doc_id", F.coalesce("source", F.lit("")).alias("source"), "text").where(F.col("doc_id").isNotNull() & F.col("text").rlike(r"[\p{L}\p{N}]"))
+    df = texts.where((F.size("sources") > 0) & F.col("text").rlike(r"[\p{L}\p{N}]"))
     df = df.withColumn("n_chars", F.char_length("text").cast("bigint")).withColumn("n_bytes", F.octet_length("text").cast("bigint"))
     tail = F.regexp_replace("text", r"(?:</[\p{L}\p{N}]+>|[\s\p{Z}\p{Cf}])+$", "")
     df = df.withColumn("tail", tail)
@@ -54,23 +65,23 @@ def _ends(documents: DataFrame) -> DataFrame:
         .when(body.rlike(r"[\p{L}\p{N}\p{M},;:/#&+=(\[{«“‘\-–—_@]$") & ~body.rlike(r":-?[()DP]$"), "open")
         .otherwise("symbol")
     )
-    return df.withColumn("kind", kind).drop("tail", "body")
+    return df.withColumn("kind", kind).drop("text", "tail", "body")
 
 
-def _closings(ends: DataFrame, documents: DataFrame) -> DataFrame:
+def _closings(ends: DataFrame, texts: DataFrame) -> DataFrame:
     """shape, closing: open last lines that recur as endings and that few other sentences begin with."""
     counts = ends.where("kind = 'open'").groupBy("shape").agg(F.count("*").alias("n_end")).where("n_end >= 3")
     words = F.split(F.rtrim("shape"), r"\s+")
     counts = counts.withColumn("k", F.least(F.size(words) - 1, F.lit(PREFIX_WORDS))).where("k >= 1").withColumn("prefix", F.array_join(F.slice(words, 1, F.col("k")), " "))
     wanted = counts.select("prefix", "k").distinct()
-    sentences = documents.where("text is not null").select(F.explode(F.split("text", r"(?<=[.!?。！？])[\s\p{Z}]+|[\r\n]+")).alias("s")).where("s <> ''").groupBy(F.split(_shape(F.col("s")), r"\s+").alias("w")).agg(F.count("*").alias("n"))
+    sentences = texts.select(F.explode(F.split("text", r"(?<=[.!?。！？])[\s\p{Z}]+|[\r\n]+")).alias("s")).where("s <> ''").groupBy(F.split(_shape(F.col("s")), r"\s+").alias("w")).agg(F.count("*").alias("n"))
     starts = sentences.select("n", F.explode(F.transform(F.sequence(F.lit(1), F.least(F.size("w"), F.lit(PREFIX_WORDS))), lambda k: F.array_join(F.slice("w", 1, k), " "))).alias("prefix")).groupBy("prefix").agg(F.sum("n").alias("n_start"))
     begun = wanted.join(starts, "prefix", "left").select("prefix", F.coalesce("n_start", F.lit(0)).alias("n_start"))
     return counts.join(begun.distinct(), "prefix", "left").where(F.col("n_end") * 2 >= F.col("n_start")).select("shape", F.lit(True).alias("closing"))
 
 
 def _listed(ends: DataFrame) -> DataFrame:
-    """Open endings that are lists or tags: doc_id, their last member, and whether it is whole.
+    """Open endings that are lists or tags: key, their last member, and whether it is whole.
 
     A member is whole if its last word also stands inside such an ending, where nothing can cut it.
     """
@@ -79,11 +90,11 @@ def _listed(ends: DataFrame) -> DataFrame:
     is_list = (F.size(items) >= 3) & (F.array_max(sizes) <= 3)
     tags = F.regexp_extract_all(F.col("line"), F.lit(r"(#[^\s#]+)"), F.lit(1))
     is_tags = F.col("line").rlike(r"^(?:[^#]*\s)?#[^\s#]+(?:\s+#[^\s#]+)*$")
-    df = ends.where("kind = 'open' and not marked").select("doc_id", F.when(is_tags, tags).when(is_list, items).alias("m"), is_tags.alias("tags"), sizes.alias("sizes")).where("m is not null")
+    df = ends.where("kind = 'open' and not marked").select("key", F.when(is_tags, tags).when(is_list, items).alias("m"), is_tags.alias("tags"), sizes.alias("sizes")).where("m is not null")
     df = df.withColumn("words", F.transform("m", lambda x: F.lower(F.element_at(F.split(x, r"\s+"), -1))))
     inner = df.select(F.explode(F.slice("words", 1, F.size("words") - 1)).alias("last")).groupBy("last").agg(F.count("*").alias("n_inside"))
     df = df.withColumn("last", F.element_at("words", -1)).withColumn("even", F.col("tags") | (F.element_at("sizes", -1) >= F.array_min("sizes")))
-    return df.join(inner, "last", "left").where("even and n_inside >= 2").select("doc_id", F.lit(True).alias("listed"))
+    return df.join(inner, "last", "left").where("even and n_inside >= 2").select("key", F.lit(True).alias("listed"))
 
 
 def _fit(length: np.ndarray, n: np.ndarray, at_limit: np.ndarray) -> tuple[float, float]:
@@ -162,19 +173,20 @@ def _limits_of(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 def judged(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(every text with its evidence and verdict, the limits found).
+    """(every document with its evidence and verdict, the limits found).
 
     NULL, empty and blank texts and texts without any letter or digit are no cases and
-    are left out. Repeated documents are judged each. A NULL source is a source of its own.
+    are left out. A text is judged once a source, and the verdict is that of each of its
+    documents. A NULL source is a source of its own.
     """
-    ends = _ends(documents)
-    ends = cut(ends.select("doc_id", "source", "n_chars", "n_bytes", "marked", "line", "shape", "kind"))
-    units = F.explode(F.array(F.struct(F.lit("chars").alias("unit"), F.col("n_chars").alias("length")), F.struct(F.lit("bytes").alias("unit"), F.col("n_bytes").alias("length"))))
+    texts = cut(_texts(documents))
+    ends = cut(_ends(texts).select("key", "sources", "n_chars", "n_bytes", "marked", "line", "shape", "kind"))
+    units = F.array(F.struct(F.lit("chars").alias("unit"), F.col("n_chars").alias("length")), F.struct(F.lit("bytes").alias("unit"), F.col("n_bytes").alias("length"))).alias("units")
     stops = F.col("kind").isin("open", "torn")
-    histogram = ends.select("source", units.alias("u"), stops.alias("stops")).groupBy("source", "u.unit", "u.length").agg(F.count("*").alias("n"), F.count_if("stops").alias("n_open"))
+    histogram = ends.select(F.explode("sources").alias("source"), units, stops.alias("stops")).select("source", F.explode("units").alias("u"), "stops").groupBy("source", "u.unit", "u.length").agg(F.count("*").alias("n"), F.count_if("stops").alias("n_open"))
     # one row a distinct length: bounded by the longest text, not by the number of texts
     limits = cut(histogram.groupBy("source", "unit").applyInPandas(_limits_of, LIMITS))
-    df = ends.join(_closings(ends, documents), "shape", "left").join(_listed(ends), "doc_id", "left")
+    df = ends.join(_closings(ends, texts), "shape", "left").join(_listed(ends), "key", "left").withColumn("source", F.explode("sources"))
     per_source = limits.groupBy("source").agg(F.collect_list(F.struct("unit", "low", "high", "posterior")).alias("limits"))
     df = df.join(per_source, "source", "left")
     hits = lambda unit: F.transform(F.filter(F.coalesce("limits", F.array()), lambda x: (x.unit == unit) & (F.col(f"n_{unit}") >= x.low) & (F.col(f"n_{unit}") <= x.high)), lambda x: x.posterior)
@@ -193,7 +205,8 @@ def judged(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
         .otherwise(-8.0)
     )
     df = df.withColumn("score", F.round(ending + length, 3)).withColumn("is_cut", ending + length > 0)
-    return df.select("doc_id", "source", "n_chars", "n_bytes", "kind", "marked", "line", "posterior", "score", "is_cut"), limits
+    copies = documents.where("doc_id is not null and text is not null").select("doc_id", F.coalesce("source", F.lit("")).alias("source"), _key(F.col("text")).alias("key"))
+    return copies.join(df, ["key", "source"]).select("doc_id", "source", "n_chars", "n_bytes", "kind", "marked", "line", "posterior", "score", "is_cut"), limits
 
 
 def found(documents: DataFrame) -> DataFrame:

@@ -125,6 +125,24 @@ def test_cuts_find_the_limit_and_the_cut_texts(spark):
     assert report["captions"].cut_texts == len(got)
 
 
+def test_copies_of_a_text_are_no_evidence_for_its_ending(spark):
+    texts, cut = captions()
+    torn = sorted(cut)[:3]
+    copied = {torn[0]: 3, torn[1]: 40, torn[2]: 450}  # the last is a third of all rows
+    rows = [(i, t, None, "captions", None, "w", "i", "l", "s") for i, t in enumerate(texts)]
+    alone = {r.doc_id: (r.score, r.is_cut) for r in cuts.judged(spark.createDataFrame(rows, DOCS))[0].collect()}
+    more = [texts[i] for i, n in copied.items() for _ in range(n)]
+    owner = [i for i, n in copied.items() for _ in range(n)]
+    rows += [(len(texts) + k, t, None, "captions", None, "w", "i", "l", "s") for k, t in enumerate(more)]
+    rows += [(None, texts[torn[0]], None, "captions", None, "w", "i", "l", "s")] * 5
+    rows += [(5000, texts[torn[0]], None, None, None, "w", "i", "l", "s")]  # the source is judged apart, the text counts once
+    both = spark.createDataFrame(rows, DOCS)
+    got = {r.doc_id: (r.score, r.is_cut) for r in cuts.judged(both)[0].collect()}
+    assert all(alone[i][1] for i in torn) and 5000 in got
+    assert {i: v for i, v in got.items() if i < 5000} == alone | {len(texts) + k: alone[i] for k, i in enumerate(owner)}
+    assert {len(texts) + k for k in range(len(more))} <= {r.doc_id for r in cuts.found(both).collect()}
+
+
 def test_cuts_in_transfer_and_complete_endings(spark):
     whole, _ = captions()
     whole = [t for t in whole if len(t) < 110]
