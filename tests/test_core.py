@@ -128,6 +128,30 @@ def test_alignment_scores(spark, kind, monkeypatch):
         assert alignment.global_score(kind, songs[a], songs[b], 0) == walk(kind, songs[a], songs[b], 0, local=False)
 
 
+@pytest.mark.parametrize("kind", ["note", "chord"])
+def test_end_to_end_scores_of_all_pairs(spark, kind, monkeypatch):
+    rng = random.Random(4)
+    draw = (lambda: rng.randint(-40, 40)) if kind == "note" else (lambda: rng.randint(0, 107))
+    songs = {f"{k % 3}{k}": [draw() for _ in range(rng.choice([0, 1, 5, 20, 30]))] for k in range(9)}
+    monkeypatch.setattr(alignment, "BLOCK_SYMBOLS", 40)
+    df = spark.createDataFrame(list(songs.items()), "song string, symbols array<int>")
+    got = {(r.song_a, r.song_b): (r.score, r.best_transposition) for r in alignment.all_pairs(df, kind, "needleman_wunsch").collect()}
+    assert len(got) == 36
+    for (a, b), (score, at) in got.items():
+        each = [walk(kind, songs[a], songs[b], t, local=False) for t in range(12 if kind == "chord" else 1)]
+        assert score == max(each) and at == each.index(max(each))
+
+
+@pytest.mark.parametrize("kind, name", [("chord", "nw_scores"), ("note", "nw_note_scores")])
+def test_nw_scores_have_all_pairs(spark, kind, name):
+    from cantus.plans import alignment as plans
+
+    d = "/root/testdata/sf0.001"
+    n = plans.symbol_sequences(spark, d, kind).count()
+    rows = getattr(plans, name)(spark, d).collect()
+    assert len({(r.song_a, r.song_b) for r in rows}) == len(rows) == n * (n - 1) // 2
+
+
 def test_alignment_properties():
     rng = random.Random(5)
     notes, chord = [rng.randint(-12, 12) for _ in range(40)], [rng.randint(0, 107) for _ in range(25)]
