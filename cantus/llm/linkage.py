@@ -198,7 +198,7 @@ def _score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(out, columns=["left_id", "right_id", "left_artist", "right_artist", "weight", "base"])
 
 
-def link(left: DataFrame, right: DataFrame, least: float = 0.4, keep: float = 0.3, rounds: int = 12) -> tuple[DataFrame, DataFrame]:
+def link(left: DataFrame, right: DataFrame, least: float = 0.4, keep: float = 0.3) -> tuple[DataFrame, DataFrame]:
     """(matches: left_id, right_id, confidence; all scored edges).
 
     Both sides have (row_id, title, artist, album, duration_ms). Repeated rows are one
@@ -227,18 +227,19 @@ def link(left: DataFrame, right: DataFrame, least: float = 0.4, keep: float = 0.
     r = rights.select(F.col("row_id").alias("right_id"), F.col("reading").alias("right_reading"), *(F.col(c).alias(f"r_{c}") for c in fields))
     scored = edges.join(l, ["left_id", "left_reading"]).join(r, ["right_id", "right_reading"]).mapInPandas(_score, "left_id string, right_id string, left_artist string, right_artist string, weight double, base double")
     scored = cut(scored.groupBy("left_id", "right_id").agg(F.max_by(F.struct("left_artist", "right_artist", "weight", "base"), F.struct("base", "weight", "left_artist", "right_artist")).alias("e")).select("left_id", "right_id", "e.*").withColumn("confidence", F.col("base")))
-    for _ in range(rounds):
+    while True:  # a round moves two sets of confidences at most 0.7 times as far apart (and 1e-6 by rounding), so it ends
         # what the other edges between the same two artists say, as the mean confidence around this edge
         artists = scored.groupBy("left_artist", "right_artist").agg(F.sum("confidence").alias("all"), F.count("*").alias("n"))
         rivals = scored.groupBy("right_id").agg(F.max("confidence").alias("top"))
         around = F.when(F.col("n") > 1, (F.col("all") - F.col("confidence")) / (F.col("n") - 1)).otherwise(0.5)
         own = F.col("base") + 0.1 * (around - 0.5) * F.least(F.lit(1.0), (F.col("n") - 1) / 3)
         after = own - 0.3 * (F.col("top") - F.col("confidence"))  # a better rival of the same row speaks against it
+        held = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.round(after, 6)))
         step = scored.join(artists, ["left_artist", "right_artist"]).join(rivals, "right_id")
-        step = cut(step.select("left_id", "right_id", "left_artist", "right_artist", "weight", "base", F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.round(after, 6))).alias("confidence"), F.abs(F.round(after, 6) - F.col("confidence")).alias("moved")))
+        step = cut(step.select("left_id", "right_id", "left_artist", "right_artist", "weight", "base", held.alias("confidence"), F.abs(held - F.col("confidence")).alias("moved")))
         moved = step.agg(F.max("moved")).first()[0]
         scored = step.drop("moved")
-        if moved is None or moved < 0.002:
+        if moved is None or moved < 1e-5:
             break
     best = scored.groupBy("right_id").agg(F.max_by(F.struct("left_id", "confidence"), F.struct("confidence", "base", "weight", F.xxhash64("left_id"))).alias("b"))
     matches = best.select("b.left_id", "right_id", F.round("b.confidence", 4).alias("confidence")).where(F.col("confidence") >= least)

@@ -1,7 +1,13 @@
 """Matching recordings on hand-written rows."""
 
+import os
+
+import pytest
+from pyspark.sql import functions as F
+
 from cantus.llm import linkage as L
 
+SF = "/root/testdata/sf0.01"
 SCHEMA = "row_id string, title string, artist string, artists_all array<string>, album string, duration_ms bigint, key string, weight string, base string"
 LEFT = [
     ("k1", "Silver Orchard", "Rulraeng Pumgae", "Weightless Ocean", 248198),
@@ -37,6 +43,37 @@ def test_links_through_every_kind_of_dress(spark):
     assert got == {("k1", "l1"), ("k2", "l2"), ("k3", "l3"), ("k4", "l4"), ("k6", "l5"), ("k7", "l6"), ("k3", "l10")}
 
 
+def test_confidences_are_refined_until_they_settle(spark, monkeypatch):
+    rounds, write = [], L.cut
+
+    def restless(df):
+        if "moved" in df.columns:
+            rounds.append(1)
+            if len(rounds) < 15:  # not settled before the fifteenth round
+                df = df.withColumn("moved", F.lit(1.0))
+        return write(df)
+
+    monkeypatch.setattr(L, "cut", restless)
+    assert L.link(frame(spark, LEFT[:3]), frame(spark, LEFT[:3]))[0].count() == 3
+    assert len(rounds) == 15
+
+
+@pytest.mark.skipif(not os.path.exists(SF), reason="no test tables")
+def test_confidences_held_at_the_ends_of_the_scale_settle(spark, monkeypatch):
+    moved, write = [], L.cut
+
+    def counted(df):
+        out = write(df)
+        if "moved" in df.columns:
+            moved.append(out.agg(F.max("moved")).first()[0])
+            assert len(moved) < 60
+        return out
+
+    monkeypatch.setattr(L, "cut", counted)
+    L.same_recordings(*(spark.read.parquet(f"{SF}/{t}.parquet") for t in ("k_indie_songs", "liked_songs")))
+    assert moved[-1] < 1e-5
+
+
 def test_links_of_nothing(spark):
     df = frame(spark, LEFT)
     assert L.link(df.limit(0), df)[0].count() == 0
