@@ -96,6 +96,20 @@ def log_fields(spark: SparkSession, d: str) -> DataFrame:
     return df.where(F.size("f") >= 2).select(F.get("f", F.lit(1)).alias("field")).distinct()
 
 
+@query("SELECT source, line, count(*) AS n FROM (SELECT source, trim(unnest(string_split(text, chr(10))), ' ' || chr(13) || chr(9)) AS line FROM documents) WHERE line <> '' AND NOT starts_with(line, '#') GROUP BY ALL")
+def manifest_lines_by_source(spark: SparkSession, d: str) -> DataFrame:
+    """``manifest_lines`` of the documents of every source."""
+    df = table(spark, d, "documents").select("source", F.explode(F.split("text", "\n")).alias("l")).select("source", F.trim(F.col("l"), F.lit(" \r\t")).alias("line"))
+    return df.where("line <> '' and not startswith(line, '#')").groupBy("source", "line").agg(F.count("*").alias("n"))
+
+
+@query("SELECT DISTINCT source, split_part(line, ' ', 2) AS field FROM (SELECT source, unnest(string_split(text, chr(10))) AS line FROM documents) WHERE len(string_split(line, ' ')) >= 2")
+def log_fields_by_source(spark: SparkSession, d: str) -> DataFrame:
+    """``log_fields`` of the documents of every source."""
+    df = table(spark, d, "documents").select("source", F.explode(F.split("text", "\n")).alias("line")).select("source", F.split("line", " ").alias("f"))
+    return df.where(F.size("f") >= 2).select("source", F.get("f", F.lit(1)).alias("field")).distinct()
+
+
 @query("SELECT stem, id, folder FROM (SELECT lower(title) AS stem, track_id AS id, 0 AS folder FROM k_indie_songs UNION SELECT lower(title), liked_id, 1 FROM liked_songs) QUALIFY row_number() OVER (PARTITION BY stem ORDER BY folder, id) = 1")
 def first_source_wins(spark: SparkSession, d: str) -> DataFrame:
     """Songs of two folders by lower-case title, the first folder's first file kept."""

@@ -224,3 +224,12 @@ def test_times_and_names(spark):
     songs = spark.createDataFrame([("Silver River",), ("Silver Road",), ("Kite",)], "song string")
     how = {w: tuple(resolve(songs, w).first())[1:] for w in ("Kite", "road", "silver", "Kte", "zzzz")}
     assert how == {"Kite": ("Kite", "exact"), "road": ("Silver Road", "contains"), "silver": (None, "none"), "Kte": ("Kite", "close"), "zzzz": (None, "none")} or Counter(how)["zzzz"] == 0
+
+
+def test_lines_and_fields_of_every_source(spark):
+    from cantus.plans.queries import QUERIES
+
+    d = "/root/testdata/sf0.001"
+    sources = {r.source for r in spark.read.parquet(f"{d}/documents.parquet").where("text rlike '[a-z] [a-z]'").select("source").distinct().collect()}
+    for name in ("manifest_lines_by_source", "log_fields_by_source"):
+        assert {r.source for r in QUERIES[name](spark, d).select("source").distinct().collect()} >= sources and len(sources) > 1
