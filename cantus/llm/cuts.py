@@ -1,6 +1,6 @@
 """Problem 8: texts cut off by a field limit or in transfer.
 
-Two kinds of evidence are added as log-odds.
+Two kinds of evidence, each in log-odds and each fitted on the corpus.
 
 Lengths: per source and unit (characters, UTF-8 bytes) the lengths are log-normal,
 right-censored at limits that apply to a share of the texts. Limits are the lengths
@@ -8,10 +8,16 @@ right-censored at limits that apply to a share of the texts. Limits are the leng
 more texts than the fit; location and spread are fitted by maximum likelihood (EM over
 the length histogram), and a text at a limit gets the posterior of being censored.
 
-Endings: a text that stops without a sentence end is open unless its last line is a
-known closing: a line that recurs at the end of texts and that little else begins
-with, a list whose last item is whole, or a row of tags that exist elsewhere. All
-these statistics are counted over all different texts, so copies of a text are no
+Endings: every text falls into a class of endings. The classes of an open ending say
+how texts with the same beginning of the last line usually fare: whether that line
+goes on elsewhere to a full sentence, or stops there too (a signature, an aside). How
+often cut and whole texts have a class is fitted against the length posterior: texts
+at limits show the endings of cut texts, the others those of whole texts, each
+mixed with some of the other kind (``calibrated``). A text is cut if both kinds of
+evidence together say so, so a text at a limit needs less of an ending than a text at
+none.
+
+All statistics are counted over all different texts, so copies of a text are no
 evidence for it; each text is judged once a source, and its documents share the verdict.
 """
 
@@ -25,7 +31,10 @@ from pyspark.sql import functions as F
 from cantus.plans.storage import cut
 
 WINDOWS = (1, 5, 13)
-PREFIX_WORDS = 8
+DEPTH = 3  # words of a line's beginning that are looked up, the longest known one counts
+WANTED = 200_000  # beginnings (8 bytes each) that are broadcast to the sentences; more are joined by shuffle
+PRIOR = {"torn": 1.0, "open": 8.0, "open marked": 2.0}  # cut texts seen before any data; open ones are spread as the open endings that no formula explains
+SMOOTH = 0.5
 LIMITS = "source string, unit string, low bigint, high bigint, posterior double, share double, mu double, sigma double"
 CHORD = r"\b[A-G][#b♯♭]?(?:maj|min|dim|aug|sus|add|m)?\d*(?:b5)?(?:/[A-G][#b♯♭]?)?(?![\p{L}\d])"
 MARK = r"\s*(?:…|\.{2,}|\[(?:…|\.{2,}|\p{L}{3,12})\]|\((?:…|\.{2,}|more|continued|truncated)\)|<(?:more|cut|truncated)>)$"
@@ -68,16 +77,30 @@ def _ends(texts: DataFrame) -> DataFrame:
     return df.withColumn("kind", kind).drop("text", "tail", "body")
 
 
-def _closings(ends: DataFrame, texts: DataFrame) -> DataFrame:
-    """shape, closing: open last lines that recur as endings and that few other sentences begin with."""
-    counts = ends.where("kind = 'open'").groupBy("shape").agg(F.count("*").alias("n_end")).where("n_end >= 3")
-    words = F.split(F.rtrim("shape"), r"\s+")
-    counts = counts.withColumn("k", F.least(F.size(words) - 1, F.lit(PREFIX_WORDS))).where("k >= 1").withColumn("prefix", F.array_join(F.slice(words, 1, F.col("k")), " "))
-    wanted = counts.select("prefix", "k").distinct()
-    sentences = texts.select(F.explode(F.split("text", r"(?<=[.!?。！？])[\s\p{Z}]+|[\r\n]+")).alias("s")).where("s <> ''").groupBy(F.split(_shape(F.col("s")), r"\s+").alias("w")).agg(F.count("*").alias("n"))
-    starts = sentences.select("n", F.explode(F.transform(F.sequence(F.lit(1), F.least(F.size("w"), F.lit(PREFIX_WORDS))), lambda k: F.array_join(F.slice("w", 1, k), " "))).alias("prefix")).groupBy("prefix").agg(F.sum("n").alias("n_start"))
-    begun = wanted.join(starts, "prefix", "left").select("prefix", F.coalesce("n_start", F.lit(0)).alias("n_start"))
-    return counts.join(begun.distinct(), "prefix", "left").where(F.col("n_end") * 2 >= F.col("n_start")).select("shape", F.lit(True).alias("closing"))
+def _words(line: Column) -> Column:
+    """The levelled words of a line, without markup."""
+    return F.split(F.trim(_shape(F.regexp_replace(line, r"<[^<>]*>", " "))), r"\s+")
+
+
+def _beginnings(words: Column, most: Column) -> Column:
+    """(depth, hash) of the first 1 to ``DEPTH`` words, where more words than ``most`` allows do not follow."""
+    depths = F.filter(F.array(*(F.lit(k) for k in range(1, DEPTH + 1))), lambda k: k <= most)
+    return F.transform(depths, lambda k: F.struct(k.alias("depth"), F.xxhash64(F.array_join(F.slice(words, 1, k), " ")).alias("start")))
+
+
+def _goes_on(ends: DataFrame, texts: DataFrame) -> DataFrame:
+    """key, depth, n_on, n_stop: of the longest beginning of an open last line that any other text has, how many sentences go on from it to a full stop, and how many other texts stop open."""
+    words = _words(F.col("line"))
+    mine = cut(ends.where("kind = 'open'").select("key", F.explode(_beginnings(words, F.size(words) - 1)).alias("b")).select("key", "b.*"))
+    stops = mine.groupBy("start").agg(F.count("*").alias("n_stop"))
+    wanted = stops.select("start")
+    # sentences are reduced to the beginnings that are asked for before anything is exchanged
+    full = F.filter(F.split("text", r"(?<=[.!?。！？])[\s\p{Z}]+|[\r\n]+"), lambda x: x.rlike(r"[.!?。！？][\"'”’)\]]*\s*$"))
+    starts = texts.select(F.explode(full).alias("s")).select(_words(F.col("s")).alias("w")).select(F.explode(_beginnings(F.col("w"), F.size("w") - 1)).alias("b")).select("b.start")
+    asked = F.broadcast(wanted) if wanted.limit(WANTED + 1).count() <= WANTED else wanted
+    goes = starts.join(asked, "start", "left_semi").groupBy("start").agg(F.count("*").alias("n_on"))
+    seen = mine.join(stops.withColumn("n_stop", F.col("n_stop") - 1), "start").join(goes, "start", "left").withColumn("n_on", F.coalesce("n_on", F.lit(0))).where("n_on + n_stop > 0")
+    return seen.groupBy("key").agg(F.max(F.struct("depth", "n_on", "n_stop")).alias("x")).select("key", "x.*")
 
 
 def _listed(ends: DataFrame) -> DataFrame:
@@ -172,12 +195,61 @@ def _limits_of(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
     return _limits(pdf)
 
 
+def calibrated(classes: list[tuple[str, float, float]]) -> tuple[dict[str, float], dict[str, float], float, float, str]:
+    """(log-odds of each class of endings, its share among cut texts, share of cut texts at limits, share elsewhere, the class that tells).
+
+    ``classes``: (class, texts at limits weighted by their length posterior, texts at none).
+    Each side is a mixture of cut and whole texts. By definition a cut text does not end
+    with a full sentence or closing sign, and a whole one not inside a character or tag. So
+    the full endings at limits tell how many whole texts merely have that length; and cut
+    texts elsewhere are as many as the class that whole texts have least leaves room for.
+    Fields put a mark after a cut more often, so only classes without one tell.
+    Both are iterated until they settle to 1e-9; each step is bounded, and 200 rounds are
+    far more than the geometric convergence needs.
+    """
+    names = [c for c, _, _ in classes]
+    pile, off = np.array([w for _, w, _ in classes], float), np.array([n for _, _, n in classes], float)
+    full = np.array([c.startswith(("sentence", "symbol")) for c in names])
+    torn = np.array([c.startswith("torn") for c in names])
+    plain = ~np.array([c.endswith("marked") for c in names])
+    free = np.array([c.split()[0] in ("new", "on", "either", "stop") and "said" not in c for c in names])
+    prior = np.array([PRIOR.get(c, SMOOTH) for c in names])
+    for group, size in ((free & plain, PRIOR["open"]), (free & ~plain, PRIOR["open marked"])):
+        prior = np.where(group, size * (off + SMOOTH) / max(SMOOTH, (off + SMOOTH)[group].sum()), prior)
+    n_pile, n_off = max(1.0, pile.sum()), max(1.0, off.sum())
+    rest, elsewhere, at = 0.0, 0.0, 0
+
+    def of_kind(counts: np.ndarray) -> np.ndarray:
+        return counts / np.where(plain, counts[plain].sum() or 1.0, counts.sum())
+
+    share = of_kind(np.where(full, SMOOTH, pile + prior))
+    for _ in range(200):
+        whole = np.where(torn, 0.0, np.maximum(0.0, off - elsewhere * n_off * share)) + SMOOTH
+        whole = whole / whole.sum()
+        new_rest = min(0.99, float(pile[full].sum() / n_pile / max(1e-9, whole[full].sum())))
+        counts = np.where(full, 0.0, np.maximum(0.0, pile - new_rest * n_pile * whole)) + np.where(torn, off, 0.0) + np.where(full, SMOOTH, prior)
+        share = of_kind(counts)
+        told = np.flatnonzero((share >= 0.05) & ~full & plain)
+        ratio = (off[told] + SMOOTH) / n_off / share[told]
+        at = int(told[ratio.argmin()])
+        new = float(min(0.5, ratio.min()))
+        done = abs(new - elsewhere) + abs(new_rest - rest) < 1e-9
+        rest, elsewhere = new_rest, new
+        if done:
+            break
+    return dict(zip(names, np.round(np.log(share / whole), 4).tolist())), dict(zip(names, share.tolist())), 1 - rest, elsewhere, names[at]
+
+
+def _logit(p: Column) -> Column:
+    return F.log(p / (1 - p))
+
+
 def judged(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(every document with its evidence and verdict, the limits found).
 
     NULL, empty and blank texts and texts without any letter or digit are no cases and
     are left out. A text is judged once a source, and the verdict is that of each of its
-    documents. A NULL source is a source of its own.
+    documents. A NULL source is a source of its own. score = length + ending, in log-odds.
     """
     texts = cut(_texts(documents))
     ends = cut(_ends(texts).select("key", "sources", "n_chars", "n_bytes", "marked", "line", "shape", "kind"))
@@ -186,27 +258,31 @@ def judged(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     histogram = ends.select(F.explode("sources").alias("source"), units, stops.alias("stops")).select("source", F.explode("units").alias("u"), "stops").groupBy("source", "u.unit", "u.length").agg(F.count("*").alias("n"), F.count_if("stops").alias("n_open"))
     # one row a distinct length: bounded by the longest text, not by the number of texts
     limits = cut(histogram.groupBy("source", "unit").applyInPandas(_limits_of, LIMITS))
-    df = ends.join(_closings(ends, texts), "shape", "left").join(_listed(ends), "key", "left").withColumn("source", F.explode("sources"))
+    said = ends.where("kind = 'open'").groupBy("shape").agg(F.count("*").alias("n_same")).where("n_same >= 3")
+    df = ends.join(_goes_on(ends, texts), "key", "left").join(_listed(ends), "key", "left").join(said, "shape", "left")
+    ratio = F.log((F.col("n_on") + SMOOTH) / (F.col("n_stop") + SMOOTH))
+    fares = F.when(F.col("depth").isNull(), "new").otherwise(F.concat(F.when(ratio >= 1, "on").when(ratio <= -1.5, "stop").otherwise("either"), F.when(F.col("depth") == 1, " word").otherwise(" words")))
+    fares = F.concat(F.when(F.coalesce("listed", F.lit(False)), "listed").otherwise(fares), F.when(F.col("n_same").isNotNull(), " said").otherwise(""))
+    ending = F.concat(F.when(F.col("kind") == "open", fares).otherwise(F.col("kind")), F.when(F.col("marked"), " marked").otherwise(""))
+    df = df.withColumn("ending", ending).withColumn("source", F.explode("sources"))
     per_source = limits.groupBy("source").agg(F.collect_list(F.struct("unit", "low", "high", "posterior")).alias("limits"))
     df = df.join(per_source, "source", "left")
     hits = lambda unit: F.transform(F.filter(F.coalesce("limits", F.array()), lambda x: (x.unit == unit) & (F.col(f"n_{unit}") >= x.low) & (F.col(f"n_{unit}") <= x.high)), lambda x: x.posterior)
-    df = df.withColumn("posterior", F.array_max(F.concat(hits("chars"), hits("bytes"))))
-    # texts at no limit: only a cut in transfer, whose odds the ending decides
-    length = F.when(F.col("posterior").isNotNull(), F.log(F.col("posterior") / (1 - F.col("posterior")))).otherwise(-1.0)
-    known = F.coalesce("closing", F.lit(False))
-    ending = (
-        F.when(F.col("kind") == "torn", 9.0)
-        .when((F.col("kind") == "open") & known, -6.0)
-        .when((F.col("kind") == "open") & F.coalesce("listed", F.lit(False)), -3.0)
-        .when(F.col("kind") == "open", 5.0)
-        .when(F.col("kind") == "number", -1.5)
-        .when(F.col("marked") & (F.col("kind") == "sentence"), -3.0)
-        .when(F.col("marked"), 0.0)
-        .otherwise(-8.0)
-    )
-    df = df.withColumn("score", F.round(ending + length, 3)).withColumn("is_cut", ending + length > 0)
+    df = cut(df.withColumn("posterior", F.array_max(F.concat(hits("chars"), hits("bytes")))).select("key", "source", "n_chars", "n_bytes", "kind", "marked", "line", "ending", "posterior"))
+    # one row a class of endings: a few dozen, whatever the corpus holds
+    each = df.groupBy("key", "ending").agg(F.max("posterior").alias("posterior"))  # a text of several sources counts once
+    counts = each.groupBy("ending").agg(F.coalesce(F.sum("posterior"), F.lit(0.0)).alias("w"), F.count_if(F.col("posterior").isNull()).alias("n")).orderBy("ending").collect()
+    odds, shares, at_limit, elsewhere, tells = calibrated([(r.ending, r.w, r.n) for r in counts] or [("new", 0.0, 0)])
+    # how often each source cuts at no limit, drawn to the rate of all sources by 50 texts' worth
+    rates = df.where("posterior is null").groupBy("source").agg(F.count_if(F.col("ending") == tells).alias("k"), F.count("*").alias("n"))
+    rates = rates.select("source", F.least(F.lit(0.5), (F.col("k") / shares[tells] + 50 * elsewhere) / (F.col("n") + 50)).alias("rate"))
+    df = df.join(rates, "source", "left")
+    length = _logit(F.when(F.col("posterior").isNotNull(), F.col("posterior") * at_limit).otherwise(F.greatest(F.coalesce("rate", F.lit(elsewhere)), F.lit(1e-6))))
+    table = F.create_map(*(F.lit(x) for pair in odds.items() for x in pair))
+    df = df.withColumn("length_odds", F.round(length, 4)).withColumn("ending_odds", F.try_element_at(table, F.col("ending")))
+    df = df.withColumn("score", F.round(F.col("length_odds") + F.col("ending_odds"), 3)).withColumn("is_cut", F.col("length_odds") + F.col("ending_odds") > 0)
     copies = documents.where("doc_id is not null and text is not null").select("doc_id", F.coalesce("source", F.lit("")).alias("source"), _key(F.col("text")).alias("key"))
-    return copies.join(df, ["key", "source"]).select("doc_id", "source", "n_chars", "n_bytes", "kind", "marked", "line", "posterior", "score", "is_cut"), limits
+    return copies.join(df, ["key", "source"]).select("doc_id", "source", "n_chars", "n_bytes", "kind", "marked", "line", "ending", "posterior", "length_odds", "ending_odds", "score", "is_cut"), limits
 
 
 def found(documents: DataFrame) -> DataFrame:

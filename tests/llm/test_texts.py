@@ -152,6 +152,33 @@ def test_cuts_in_transfer_and_complete_endings(spark):
     assert got == {0, 1, 2, 3, 4}
 
 
+def test_equal_endings_differ_by_their_length(spark):
+    """Unheard-of sign-offs: at the field limit a cut is likelier than a whole text, elsewhere it is not; lengths and endings can each overturn the other."""
+    texts, _ = captions()
+    rng = random.Random(11)
+    name = lambda: "".join(rng.choice("bdfglmnrstv") + rng.choice("aeiou") for _ in range(4))
+    texts += [t[: rng.randint(20, 70)].rsplit(". ", 1)[0] + ".\n" + f"{name()} {name()} {name()}" for t in texts[:60]]
+    body = "River follows slow old drums under the bar. Guitar and paper answer the window. "
+    pairs = []
+    for _ in range(5):
+        sign = f"{name()} {name()} {name()}"
+        pairs += [(body + "Tempo. " * 9)[: 119 - len(sign)] + "\n" + sign, (body + "Tempo.")[: 93 - len(sign)] + "\n" + sign]
+    full = [(body + "Silver tempo answers every bar follows the slow drums")[:119] + "."]  # a full sentence at the limit
+    n = len(texts)
+    got = {r.doc_id - n: r for r in cuts.judged(docs_of(spark, texts + pairs + full, "captions"))[0].where(f"doc_id >= {n}").collect()}
+    assert all(len(pairs[k]) == 120 and got[k].is_cut for k in range(0, 10, 2))
+    assert not any(got[k].is_cut for k in range(1, 10, 2))
+    assert all(got[k].ending == got[k + 1].ending for k in range(0, 10, 2))
+    assert not got[10].is_cut and got[10].posterior > 0.5
+
+
+def test_calibration_tells_the_two_kinds_apart():
+    odds, shares, at_limit, elsewhere, tells = cuts.calibrated([("on words", 90.0, 20), ("new", 10.0, 100), ("stop words said", 0.0, 80), ("sentence", 10.0, 800)])
+    assert tells == "on words" and odds["on words"] > 4 > odds["new"] > odds["stop words said"] > odds["sentence"]
+    assert 0.85 < at_limit < 0.92 and 0.01 < elsewhere < 0.04
+    assert cuts.calibrated([("new", 0.0, 0)])[0]["new"] > 0
+
+
 def test_cuts_of_nothing(spark):
     df = docs_of(spark, [None, ""])
     assert cuts.found(df).count() == 0
