@@ -84,6 +84,59 @@ def test_leaks_in_blocks_of_items(spark, items, monkeypatch):
     assert {tuple(r) for r in leaks.leaks(df, items).collect()} == whole and len(whole) == 4
 
 
+def test_equal_and_nearly_equal_items_are_all_reported(spark):
+    same = spark.createDataFrame([(i, BODY[0], "en", "c", "c") for i in (1, 2, 3)], ITEMS)
+    docs = docs_of(spark, [FILLER + BODY[0], BODY[0] + " " + FILLER])
+    assert {(r.item_id, r.doc_id) for r in leaks.leaks(docs, same).collect()} == {(i, d) for i in (1, 2, 3) for d in (0, 1)}
+    a = " ".join((BODY[0] + " " + BODY[1]).replace(",", "").replace(".", "").split()[:30])
+    b = " ".join([*a.split()[:27], "zebra", "xylophone", "yonder"])
+    two = spark.createDataFrame([(1, a, "en", "c", "c"), (2, b, "en", "c", "c")], ITEMS)
+    assert {(r.item_id, r.doc_id) for r in leaks.leaks(docs_of(spark, [a, b]), two).collect()} == {(1, 0), (1, 1), (2, 0), (2, 1)}
+
+
+def test_an_item_of_shared_wording_leaks_only_as_a_whole(spark):
+    end = "Which of the four stems carries the theme here and where does it begin?"
+    rows = [(i, ASK + b, "en", "c", "c") for i, b in enumerate(BODY)] + [(9, ASK + end, "en", "c", "c")] + [(20 + i, b + " " + end, "en", "c", "c") for i, b in enumerate(BODY)]
+    docs = docs_of(spark, [ASK + FILLER, ASK + end, FILLER + end])
+    assert {(r.item_id, r.doc_id) for r in leaks.leaks(docs, spark.createDataFrame(rows, ITEMS)).collect()} == {(9, 1)}
+
+
+def _brute_force(item, doc):
+    """Words of the item in the best local word alignment: +1 an equal word, -2 a changed, added or missing one."""
+    best, row = (0, 0), [(0, 0)] * (len(doc) + 1)  # (score, where the passage begins in the item)
+    for i, w in enumerate(item):
+        new = [(0, i + 1)]
+        for j, v in enumerate(doc):
+            here = max((row[j][0] + (1 if w == v else -2), row[j][1] if row[j][0] > 0 else i), (row[j + 1][0] - 2, row[j + 1][1]), (new[j][0] - 2, new[j][1]), (0, i + 1), key=lambda x: x[0])
+            new.append(here)
+            if w == v and here[0] > best[0]:
+                best = (here[0], i + 1 - here[1])
+        row = new
+    return best[1]
+
+
+def test_recall_of_the_filter_against_brute_force(spark):
+    rng = random.Random(5)
+    vocabulary = ["".join(rng.choice("bdfglmnprstvaeiou가나다라") for _ in range(rng.choice([1, 2, 3, 4, 5, 6, 8, 13]))) for _ in range(700)]
+    text = lambda n: [rng.choice(vocabulary) for _ in range(n)]
+    items = [text(rng.randint(14, 40)) for _ in range(30)]
+    docs = []
+    for _ in range(150):
+        item = rng.choice(items)
+        size = rng.randint(10, len(item)) if len(item) > 10 else len(item)
+        at = rng.randint(0, len(item) - size)
+        part = item[at : at + size]
+        for k in range(4, size - 4, rng.randint(9, 14)):  # edits inside, about one word in nine at most
+            part[k] = rng.choice([[], [rng.choice(vocabulary)], [part[k], rng.choice(vocabulary)]])
+        docs.append(text(rng.randint(0, 12)) + [w for x in part for w in (x if isinstance(x, list) else [x])] + text(rng.randint(0, 12)))
+    frame = spark.createDataFrame([(i, " ".join(t), "xx", "c", "c") for i, t in enumerate(items)], ITEMS)
+    got = {(r.item_id, r.doc_id) for r in leaks.leaks(docs_of(spark, [" ".join(t) for t in docs]), frame).collect()}
+    want = {(i, d) for i, t in enumerate(items) for d, x in enumerate(docs) if _brute_force(t, x) >= 14}
+    assert len(want) > 60
+    assert len(want & got) >= 0.99 * len(want)
+    assert len(got - want) <= 0.03 * len(got)
+
+
 def test_leaks_of_nothing(spark, items):
     df = docs_of(spark, BODY)
     assert leaks.leaks(df.limit(0), items).count() == 0
