@@ -33,6 +33,20 @@ def test_ids_equal_the_tokenizer_and_decode_to_the_text(spark):
     assert back == {i: x or "" for i, x in enumerate(texts)}
 
 
+def test_long_words_cost_in_proportion_and_equal_the_tokenizer(spark):
+    tokenizers = pytest.importorskip("tokenizers")
+    if not tokens.session_has_tokenizers():
+        pytest.skip("no vocabulary files")
+    t = tokenizers.Tokenizer.from_file(f"{tokens.TOKENIZERS}/byte_bpe_50k.json")
+    t.encode_special_tokens = True
+    rng = random.Random(3)
+    letters = lambda alphabet, n: "".join(rng.choice(alphabet) for _ in range(n))
+    texts = [letters("abcdefghijklmnopqrstuvwxyz", 30_000), "q" + "a" * 20_000, " " + "-" * 3000 + "é", "=" * 2000, "가나다" * 500, letters("가나다라蘭亭序日本語", 1500), "x" + "abc" * 1000, "_" * 777 + "-" * 777]
+    for head in (0, 50):
+        got = {r.doc_id: list(r.ids) for r in tokens.encode(docs_of(spark, texts), head=head).collect()}
+        assert all(got[i] == t.encode(x, add_special_tokens=False).ids for i, x in enumerate(texts))
+
+
 def test_ids_of_no_documents(spark):
     if not tokens.session_has_tokenizers():
         pytest.skip("no vocabulary files")
