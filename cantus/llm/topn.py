@@ -1,99 +1,130 @@
 """Problem 3: the first N items of every group.
 
 Simultaneous per-group bisection. An item's code is a vector of components (score,
-tie scores, identifier), each larger is better, compared in order. Every round cuts
-the open interval of each group's current component into sections and counts the
-rows above each section bound for all groups at once. Rows surely inside are
-accepted, rows surely outside dropped, and the interval shrinks to the actual values
-of the one section that holds the cutoff; where a component is used up by ties the
-next one takes over. A round ends with each open group's interval at least split in
-two, so groups of any size finish in few rounds, and no group is ever sorted or
-brought into one task.
+tie scores, identifier), each larger is better, compared in order; integers and texts
+are split into components that doubles hold exactly, so the code keeps every order.
+Every round cuts the open interval of each group's current component into sections and
+counts the rows above each section bound for all groups at once; the interval shrinks
+to the actual values of the one section that holds the cutoff, and where a component is
+used up by ties the next one takes over. When a group's cutoff has exactly N rows at or
+above it, it is settled. Only rows of open intervals are written again, and each round
+joins them with their bounds once; one last join keeps the rows at or above the cutoffs.
+No group is ever sorted or brought into one task.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from cantus.plans.storage import cut
+from cantus.plans.storage import cut, release
 
 SECTIONS = 64
-SALTS = 16
-SMALL_GROUPS = 20_000
+SMALL_GROUPS = 20_000  # bounds of at most so many groups are broadcast
+HOT_PARTS = 2_000  # a group with more than this share of all rows is hot: there are fewer than HOT_PARTS of them
+PIECE = 6  # bytes of a text that one component holds exactly
 BIG = 1.7e308
 
 
-def _component(c: Column) -> Column:
-    """An ordered finite double: NULL and NaN last, infinities at the ends."""
-    x = c.cast("double")
-    return F.when(x.isNull() | F.isnan(x), F.lit(-BIG)).otherwise(F.greatest(F.least(x, F.lit(BIG)), F.lit(-BIG)))
+def _components(df: DataFrame, c: Column) -> list[Column]:
+    """Ordered finite doubles in the place of a value: NULL and NaN last, infinities at the ends."""
+    kind = df.select(c.alias("c")).schema["c"].dataType
+    if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
+        c, kind = F.unix_micros(c.cast("timestamp")), T.LongType()
+    elif isinstance(kind, T.DateType):
+        c, kind = F.unix_date(c), T.IntegerType()
+    if isinstance(kind, T.LongType):
+        parts = [F.floor(F.call_function("shiftright", c, F.lit(32))).cast("double"), c.bitwiseAND(F.lit(0xFFFFFFFF)).cast("double")]
+    elif isinstance(kind, (T.StringType, T.BinaryType)):
+        raw = c.cast("binary")
+        longest = df.agg(F.max(F.octet_length(raw))).first()[0] or 0  # one number
+        word = lambda k: F.conv(F.rpad(F.hex(F.substring(raw, PIECE * k + 1, PIECE)), 2 * PIECE, "0"), 16, 10).cast("double")
+        parts = [*(word(k) for k in range(-(-longest // PIECE))), F.octet_length(raw).cast("double")]
+    else:
+        x = c.cast("double")
+        parts = [F.when(F.isnan(x), None).otherwise(F.greatest(F.least(x, F.lit(BIG)), F.lit(-BIG)))]
+    return [F.coalesce(F.when(c.isNotNull(), p), F.lit(-BIG)) for p in parts]
 
 
-def _with_bounds(rows: DataFrame, bounds: DataFrame, n_groups: int) -> DataFrame:
-    """Rows joined with their group's bounds: broadcast for few groups, else by group and salt so that a hot group spreads."""
-    if n_groups <= SMALL_GROUPS:
-        return rows.join(F.broadcast(bounds), "group_key")
-    salted = bounds.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return rows.join(salted, ["group_key", "salt"]).drop("salt").withColumn("salt", F.col("salt_of"))
+class _Join:
+    """Rows joined with one row a group: broadcast for few groups, else by group and salt, hot groups over as many salts as they have parts."""
+
+    def __init__(self, sizes: DataFrame):
+        total = sizes.agg(F.sum("inside")).first()[0] or 0  # one number
+        part = max(1, -(-total // HOT_PARTS))
+        # fewer than HOT_PARTS rows, since each has more than a part of the total
+        self.hot = F.broadcast(cut(sizes.where(F.col("inside") > part).select("group_key", F.ceil(F.col("inside") / part).cast("int").alias("salts"))))
+
+    def __call__(self, rows: DataFrame, groups: DataFrame, n_groups: int, how: str = "inner") -> DataFrame:
+        if n_groups <= SMALL_GROUPS:
+            return rows.join(F.broadcast(groups), "group_key", how)
+        salts = F.coalesce("salts", F.lit(1))
+        rows = rows.join(self.hot, "group_key", "left").withColumn("salt", F.pmod(F.xxhash64("item_key"), salts).cast("int")).drop("salts")
+        groups = groups.join(self.hot, "group_key", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("salts")
+        return rows.join(groups, ["group_key", "salt"], how).drop("salt")
 
 
 def top_n(items: DataFrame, group: str, code: list[Column], item: str, n: int) -> DataFrame:
     """group_key, item_key, code of the first ``n`` rows of each group, by the code components, larger first.
 
-    The last component must tell the rows of a group apart (an identifier); rows equal
-    in every component are kept together in the choice by dropping exact repetitions
-    of (group, item) first. NULL groups are no group. Groups of at most ``n`` rows are
-    kept whole. A NULL or NaN component ranks last.
+    An item counts once in its group, with its best code; items equal in every component
+    are ordered by their identifier, larger first, so each group gives exactly its size
+    or ``n`` rows. Integers and texts of any size are compared exactly, decimals as
+    doubles. NULL groups are no group. A NULL or NaN component ranks last, a NULL item
+    is an item. ``code`` begins with one element per component, as doubles.
     """
-    k = len(code)
-    rows = items.where(F.col(group).isNotNull()).select(F.col(group).alias("group_key"), F.col(item).alias("item_key"), F.array(*(_component(c) for c in code)).alias("code"))
-    rows = rows.withColumn("salt_of", F.pmod(F.xxhash64("item_key"), F.lit(SALTS)).cast("int")).withColumn("salt", F.col("salt_of"))
-    open_rows = cut(rows)
-    stats = open_rows.groupBy("group_key").agg(F.count("*").alias("inside"), F.min(F.col("code")[0]).alias("lo"), F.max(F.col("code")[0]).alias("hi"))
-    bounds = cut(stats.select("group_key", F.lit(0).alias("level"), F.lit(n).cast("bigint").alias("need"), "inside", "lo", "hi"))
-    accepted: list[DataFrame] = []
+    if n < 1:
+        raise ValueError("n is at least 1")
+    parts = [p for c in (*code, F.col(item)) for p in _components(items, c)]
+    k = len(parts)
+    rows = items.where(F.col(group).isNotNull()).select(F.col(group).alias("group_key"), F.col(item).alias("item_key"), F.array(*parts).alias("code"))
+    rows = cut(rows.groupBy("group_key", "item_key").agg(F.max("code").alias("code")))
+    sizes = cut(rows.groupBy("group_key").agg(F.count("*").alias("inside"), F.min(F.get("code", F.lit(0))).alias("lo"), F.max(F.get("code", F.lit(0))).alias("hi")))
+    joined = _Join(sizes)
+    bounds = sizes.where(F.col("inside") > n).select("group_key", F.lit(0).alias("level"), F.lit(n).cast("bigint").alias("need"), F.array().cast("array<double>").alias("prefix"), "lo", "hi")
+    open_rows, settled, of_round = rows, [], None
     groups = bounds.count()
+    large = groups
     while groups:
-        joined = _with_bounds(open_rows, bounds, groups)
-        value = F.get(F.col("code"), F.col("level"))
+        value = F.get("code", F.col("level"))
+        inside = (F.slice("code", 1, F.col("level")) == F.col("prefix")) & value.between(F.col("lo"), F.col("hi"))
         half = F.col("hi") / 2 - F.col("lo") / 2
         section = F.when(half <= 0, F.lit(0)).otherwise(F.least(F.floor((value / 2 - F.col("lo") / 2) / half * SECTIONS), F.lit(SECTIONS - 1))).cast("int")
-        placed = joined.withColumn("section", section)
+        placed = cut(joined(open_rows, bounds, groups).where(inside).select("group_key", "item_key", "code", "level", section.alias("section")))
+        if of_round is not None:
+            release(of_round)
         # one pass: per group and section the number of rows and the actual range of values
-        counts = placed.groupBy("group_key", "section").agg(F.count("*").alias("rows"), F.min(value).alias("s_lo"), F.max(value).alias("s_hi"), F.min(F.get("code", F.col("level") + 1)).alias("n_lo"), F.max(F.get("code", F.col("level") + 1)).alias("n_hi"), F.first("level").alias("level"), F.first("need").alias("need"))
-        per_group = counts.groupBy("group_key", "level", "need").agg(F.collect_list(F.struct("section", "rows", "s_lo", "s_hi", "n_lo", "n_hi")).alias("s"))  # at most SECTIONS entries
+        following = F.get("code", F.col("level") + 1)
+        counts = placed.groupBy("group_key", "section").agg(F.count("*").alias("rows"), F.min(value).alias("s_lo"), F.max(value).alias("s_hi"), F.min(following).alias("n_lo"), F.max(following).alias("n_hi"))
+        per_group = counts.groupBy("group_key").agg(F.collect_list(F.struct("section", "rows", "s_lo", "s_hi", "n_lo", "n_hi")).alias("s")).join(bounds, "group_key")  # at most SECTIONS entries
         above = lambda x: F.aggregate(F.filter("s", lambda y: y.section > x.section), F.lit(0).cast("bigint"), lambda a, y: a + y.rows)
-        hit = F.filter("s", lambda x: (above(x) < F.col("need")) & (above(x) + x.rows >= F.col("need")))
-        # the section that holds the n-th row; none if the group has fewer rows than it needs
-        per_group = per_group.withColumn("hit", F.get(hit, F.lit(0)))
+        # the section that holds the n-th row
+        per_group = per_group.withColumn("hit", F.get(F.filter("s", lambda x: (above(x) < F.col("need")) & (above(x) + x.rows >= F.col("need"))), F.lit(0)))
         per_group = per_group.withColumn("left", F.col("need") - above(F.col("hit")))
-        exact = F.col("hit.rows") == F.col("left")
-        per_group = per_group.withColumn("floor", F.when(F.col("hit").isNull(), F.lit(-1)).otherwise(F.when(exact, F.col("hit.section")).otherwise(F.col("hit.section") + 1)))
         tied = F.col("hit.s_lo") == F.col("hit.s_hi")
-        used_up = tied & (F.col("level") >= k - 1)
-        per_group = per_group.withColumn("floor", F.when(F.col("hit").isNotNull() & used_up, F.col("hit.section")).otherwise(F.col("floor")))
-        still = F.col("hit").isNotNull() & ~exact & ~used_up
+        done = (F.col("hit.rows") == F.col("left")) | (tied & (F.col("level") >= k - 1))
+        upto = F.concat("prefix", F.array(F.col("hit.s_lo")))
         decided = cut(
             per_group.select(
-                "group_key", F.col("level").alias("was"), "floor", F.when(still, F.col("hit.section")).alias("open_section"), F.when(tied, F.col("level") + 1).otherwise(F.col("level")).alias("next_level"),
-                F.col("left"), F.col("hit.rows").alias("inside"), F.when(tied, F.col("hit.n_lo")).otherwise(F.col("hit.s_lo")).alias("next_lo"), F.when(tied, F.col("hit.n_hi")).otherwise(F.col("hit.s_hi")).alias("next_hi"),
+                "group_key", F.when(done, upto).alias("cutoff"), F.when(tied, F.col("level") + 1).otherwise(F.col("level")).alias("level"), F.col("left").alias("need"), F.when(tied, upto).otherwise(F.col("prefix")).alias("prefix"),
+                F.when(tied, F.col("hit.n_lo")).otherwise(F.col("hit.s_lo")).alias("lo"), F.when(tied, F.col("hit.n_hi")).otherwise(F.col("hit.s_hi")).alias("hi"),
             )
         )
-        judged = _with_bounds(placed.select("group_key", "item_key", "code", "salt_of", "salt", "section"), decided.select("group_key", "floor", "open_section"), groups)
-        is_open = F.col("section") == F.col("open_section")
-        state = F.when(F.col("section") >= F.col("floor"), F.lit(1)).when(is_open, F.lit(0))
-        judged = cut(judged.withColumn("state", state).where("state is not null").select("group_key", "item_key", "code", "salt_of", "salt", "state"))
-        accepted.append(judged.where("state = 1").select("group_key", "item_key", "code"))
-        open_rows = judged.where("state = 0").drop("state")
-        bounds = decided.where("open_section is not null").select("group_key", F.col("next_level").alias("level"), F.col("left").alias("need"), "inside", F.col("next_lo").alias("lo"), F.col("next_hi").alias("hi"))
+        settled.append(decided.where("cutoff is not null").select("group_key", "cutoff"))
+        bounds = decided.where("cutoff is null").drop("cutoff")
+        open_rows, of_round = placed.select("group_key", "item_key", "code"), placed
         groups = bounds.count()
-    if not accepted:
-        return open_rows.select("group_key", "item_key", "code")
-    result = accepted[0]
-    for x in accepted[1:]:
-        result = result.unionByName(x)
-    return result
+    if of_round is not None:
+        release(of_round)
+    if not settled:
+        return rows
+    cutoffs = settled[0]
+    for x in settled[1:]:
+        cutoffs = cutoffs.unionByName(x)
+    # groups without a cutoff have at most n rows
+    kept = joined(rows, cutoffs, large, "left").where(F.col("cutoff").isNull() | (F.slice("code", 1, F.size("cutoff")) >= F.col("cutoff")))
+    return kept.select("group_key", "item_key", "code")
 
 
 def review_first(candidates: DataFrame, n: int = 5) -> DataFrame:
@@ -113,4 +144,4 @@ def review_first(candidates: DataFrame, n: int = 5) -> DataFrame:
     # at most n rows a song from here on
     ordered = best.groupBy("group_key").agg(F.reverse(F.array_sort(F.collect_list(F.struct("code", "item_key")))).alias("r"))
     placed = ordered.select(F.col("group_key").alias("song"), F.posexplode("r").alias("at", "x"))
-    return placed.select("song", (F.col("at") + 1).cast("bigint").alias("place"), F.col("x.item_key").alias("segment_index"), F.col("x.code")[0].alias("density"), F.col("x.code")[1].try_cast("bigint").alias("n_notes"))
+    return placed.select("song", (F.col("at") + 1).cast("bigint").alias("place"), F.col("x.item_key").alias("segment_index"), F.col("x.code")[0].alias("density"), (F.col("x.code")[1] * 2.0**32 + F.col("x.code")[2]).try_cast("bigint").alias("n_notes"))

@@ -176,11 +176,30 @@ def test_review_takes_the_latest_delivery_and_skips_no_candidates(spark):
 def test_top_n_with_salted_bounds(spark, monkeypatch):
     """The way for many groups: bounds joined by group and salt instead of broadcast."""
     monkeypatch.setattr(topn, "SMALL_GROUPS", 0)
+    monkeypatch.setattr(topn, "HOT_PARTS", 20)  # every group is hot
     df = spark.createDataFrame([(f"g{i % 3}", i, float(i)) for i in range(300)], "g string, i int, a double")
     got = topn.top_n(df, "g", [F.col("a"), F.col("i")], "i", 4)
     assert sorted(r.item_key for r in got.collect()) == list(range(288, 300))
 
 
+def test_top_n_with_identifiers_that_doubles_cannot_tell_apart(spark):
+    big = 2**53
+    df = spark.createDataFrame([("a", big + i, 1.0) for i in range(6)] + [("b", -big - i, None) for i in range(3)] + [("c", None, float("nan"))], "g string, i bigint, a double")
+    got = {(r.group_key, r.item_key) for r in topn.top_n(df, "g", [F.col("a")], "i", 1).collect()}
+    assert got == {("a", big + 5), ("b", -big), ("c", None)}
+    names = ["", "a", "ab", "ab\x00", "abcdefgh", "abcdefghi", "한글 이름이 길다", "한글 이름이 길다!", "z", None]
+    df = spark.createDataFrame([("g", n, 1.0) for n in names], "g string, i string, a double")
+    for n in range(1, 10):
+        want = sorted((x for x in names if x is not None), key=lambda x: x.encode(), reverse=True)[:n]
+        assert {r.item_key for r in topn.top_n(df, "g", [F.col("a")], "i", n).collect()} == set(want)
+
+
+def test_top_n_of_repeated_items_gives_n_rows_and_no_more(spark):
+    df = spark.createDataFrame([("g", 1, 1.0)] * 5 + [("g", 2, 0.5), ("g", 2, 0.7), ("g", 3, 0.6), ("h", 4, 1.0)], "g string, i int, a double")
+    got = sorted((r.group_key, r.item_key, r.code[0]) for r in topn.top_n(df, "g", [F.col("a")], "i", 2).collect())
+    assert got == [("g", 1, 1.0), ("g", 2, 0.7), ("h", 4, 1.0)]
+
+
 def test_nearest_matches_brute_force(spark):
     rng = random.Random(4)
     left = [(rng.choice("ab"), rng.choice([None, float("nan"), rng.randint(0, 3_000_000) / 1e6]), i) for i in range(300)]
