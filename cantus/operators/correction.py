@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cantus.operators.ordered import with_context
@@ -77,6 +77,43 @@ def zip_by_rank(a: DataFrame, b: DataFrame, group: str, at: str, tie: str) -> Da
     return left.alias("a").join(right.alias("b"), [group, "pos"], "full")
 
 
-def longest_first(df: DataFrame, group: str, order: list[Column]) -> DataFrame:
-    """First row of each group (small groups only)."""
-    return df.withColumn("_r", F.row_number().over(Window.partitionBy(group).orderBy(*order))).where("_r = 1").drop("_r")
+def last_entries(log: DataFrame) -> DataFrame:
+    """The changelog (song, onset_us, corrected_pitch, original_pitch, place) as a dictionary: of entries with one onset and corrected pitch the last wins."""
+    return log.groupBy("song", "onset_us", "corrected_pitch").agg(F.max_by("original_pitch", "place").alias("original_pitch"))
+
+
+def reconcile(merged: DataFrame, corrected_notes: DataFrame, log: DataFrame, tolerance_us: int = 100) -> DataFrame:
+    """song, place, note_id, problem: merged notes, corrected notes and the changelog against each other.
+
+    merged is (song, id, onset_us, pitch, mask), corrected_notes (song, id, onset_us,
+    pitch), log (song, onset_us, original_pitch, corrected_pitch). Notes are paired by
+    place in their song; a note's log entry is the first by time within the tolerance
+    with its original pitch. A record may have several problems.
+    """
+    pairs = zip_by_rank(merged, corrected_notes, "song", "onset_us", "id")
+    pairs = pairs.select("song", "pos", F.col("a.id").alias("note_id"), F.col("a.onset_us").alias("t"), F.col("a.pitch").alias("before"), F.col("a.mask").alias("mask"), F.col("b.onset_us").alias("t_after"), F.col("b.pitch").alias("after"))
+    cell = lambda c: F.floor(c / (2 * tolerance_us + 1)).cast("bigint")
+    near = F.array_distinct(F.array(cell(F.col("onset_us") - tolerance_us), cell(F.col("onset_us") + tolerance_us)))
+    entries = log.select("song", F.col("original_pitch").alias("before"), F.col("onset_us").alias("l_t"), "corrected_pitch", F.explode(near).alias("cell"))
+    hits = pairs.select("song", "pos", "t", "before", cell(F.col("t")).alias("cell")).join(entries, ["song", "before", "cell"]).where(F.abs(F.col("l_t") - F.col("t")) <= tolerance_us)
+    first = hits.groupBy("song", "pos").agg(F.min(F.struct("l_t", "corrected_pitch")).alias("entry"))
+    df = pairs.join(first, ["song", "pos"], "left")
+    changed, logged = F.col("after") != F.col("before"), F.col("entry").isNotNull()
+    inside = F.call_function("shiftright", F.col("mask"), F.pmod("after", F.lit(12)).cast("int")).bitwiseAND(F.lit(1)) == 1
+    rules = {
+        "no partner": F.col("before").isNull() | F.col("after").isNull() | (F.abs(F.col("t") - F.col("t_after")) > tolerance_us),
+        "changed without an entry": changed & ~logged,
+        "entry with another pitch": changed & (F.col("entry.corrected_pitch") != F.col("after")),
+        "corrected outside the chord": changed & ~inside,
+        "entry without a change": ~changed & logged,
+    }
+    problems = F.array_compact(F.array(*(F.when(rule, F.lit(name)) for name, rule in rules.items())))
+    return df.select("song", F.col("pos").alias("place"), "note_id", F.explode(problems).alias("problem"))
+
+
+def song_status(eligible: DataFrame, processed: DataFrame, failed: DataFrame) -> DataFrame:
+    """song, status: every eligible song as ok, failed (in the failure log and not processed since) or not_processed."""
+    done = processed.select("song").distinct().withColumn("done", F.lit(True))
+    lost = failed.select("song").distinct().withColumn("lost", F.lit(True))
+    df = eligible.select("song").distinct().join(done, "song", "left").join(lost, "song", "left")
+    return df.select("song", F.when(F.col("done"), "ok").when(F.col("lost"), "failed").otherwise("not_processed").alias("status"))

@@ -62,21 +62,25 @@ def interval_as_of(points: DataFrame, intervals: DataFrame, payload: list[str],
 
     Half-open: start <= t < end. Of intervals with one start the largest payload is
     last. Points outside every interval keep NULLs. One exchange by song and time
-    block; an interval is repeated only in the blocks it can reach.
+    block; no interval is repeated, however long it is: the last one of every block is
+    carried over the blocks behind it, one row a block.
     """
-    longest = intervals.agg(F.max(F.col("end_us") - F.col("start_us"))).first()[0] or 0  # one number
-    blocks = F.explode(F.sequence(F.floor(F.col("start_us") / block_us).cast("bigint"), F.floor((F.col("start_us") + longest) / block_us).cast("bigint")))
     found = F.struct("start_us", "end_us", *payload)
-    marks = intervals.where("end_us is not null").select("song", blocks.alias("_block"), F.col("start_us").alias("_t"), F.lit(0).alias("_kind"), found.alias("_seg"), F.lit(None).cast(points.schema).alias("_point"))
-    asked = points.select("song", F.floor(F.col("onset_us") / block_us).cast("bigint").alias("_block"), F.col("onset_us").alias("_t"), F.lit(1).alias("_kind"), F.lit(None).cast(marks.schema["_seg"].dataType).alias("_seg"), F.struct(*points.columns).alias("_point"))
+    block = lambda c: F.floor(F.col(c) / block_us).cast("bigint").alias("_block")
+    marks = intervals.where("end_us is not null").select("song", block("start_us"), F.col("start_us").alias("_t"), F.lit(0).alias("_kind"), found.alias("_seg"), F.lit(None).cast(points.schema).alias("_point"))
+    asked = points.select("song", block("onset_us"), F.col("onset_us").alias("_t"), F.lit(1).alias("_kind"), F.lit(None).cast(marks.schema["_seg"].dataType).alias("_seg"), F.struct(*points.columns).alias("_point"))
+    last = marks.groupBy("song", "_block").agg(F.max("_seg").alias("_last_of")).unionByName(asked.groupBy("song", "_block").agg(F.lit(None).cast(marks.schema["_seg"].dataType).alias("_last_of")))
+    along = Window.partitionBy("song").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    carry = last.groupBy("song", "_block").agg(F.max("_last_of").alias("_last_of")).select("song", "_block", F.last("_last_of", ignorenulls=True).over(along).alias("_carried"))
     w = Window.partitionBy("song", "_block").orderBy("_t", "_kind", "_seg").rowsBetween(Window.unboundedPreceding, 0)
-    joined = marks.unionByName(asked).withColumn("_last", F.last("_seg", ignorenulls=True).over(w)).where("_kind = 1")
+    inside = marks.unionByName(asked).withColumn("_inside", F.last("_seg", ignorenulls=True).over(w)).where("_kind = 1")
+    joined = inside.join(carry, ["song", "_block"], "left").withColumn("_last", F.coalesce("_inside", "_carried"))
     hit = F.when(F.col("_t") < F.col("_last.end_us"), F.col("_last"))
     return joined.select("_point.*", hit.alias("_hit")).select(*points.columns, *(F.col(f"_hit.{c}").alias(f"seg_{c}") for c in ("start_us", "end_us")), *(F.col(f"_hit.{c}").alias(c) for c in payload))
 
 
 def densest_windows(points: DataFrame, width_us: int) -> DataFrame:
-    """song, from_us, n: per song the window of ``width_us`` (closed) with the most points; the earliest wins.
+    """song, from_us, to_us, n: per song the most points within ``width_us`` (closed), from the first to the last of them; the earliest wins.
 
     A block holds its own points and those up to ``width_us`` after it, so every window
     that starts in a block is whole there.
@@ -84,5 +88,5 @@ def densest_windows(points: DataFrame, width_us: int) -> DataFrame:
     own = F.floor(F.col("onset_us") / width_us).cast("bigint")
     spread = points.select("song", "onset_us", F.explode(F.array(own, own - 1)).alias("_block"), own.alias("_own"))
     w = Window.partitionBy("song", "_block").orderBy("onset_us").rangeBetween(0, width_us)
-    counted = spread.withColumn("n", F.count("*").over(w)).where("_block = _own")
-    return counted.groupBy("song").agg(F.max(F.struct(F.col("n"), (-F.col("onset_us")).alias("at"))).alias("b")).select("song", (-F.col("b.at")).alias("from_us"), "b.n")
+    counted = spread.withColumn("n", F.count("*").over(w)).withColumn("to_us", F.max("onset_us").over(w)).where("_block = _own")
+    return counted.groupBy("song").agg(F.max(F.struct(F.col("n"), (-F.col("onset_us")).alias("at"), "to_us")).alias("b")).select("song", (-F.col("b.at")).alias("from_us"), "b.to_us", "b.n")

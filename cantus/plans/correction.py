@@ -9,7 +9,8 @@ from cantus.operators import correction as op
 from cantus.operators.ordered import with_context
 from cantus.plans.harmony import PITCH_NAMES, TAGGED_SQL, has, tagged_notes
 from cantus.plans.registry import query
-from cantus.plans.storage import cut
+from cantus.plans.storage import cut, table
+from cantus.sources import music
 
 STUCK_SQL = """
 owned AS (SELECT song, seg_start_us, list(DISTINCT pitch) FILTER (tag = 'chord_tone') AS tones FROM tagged WHERE seg_start_us IS NOT NULL GROUP BY song, seg_start_us),
@@ -55,14 +56,22 @@ def semitone_histogram(spark: SparkSession, d: str) -> DataFrame:
     return df.select("semitones", F.when(F.abs("semitones") >= 5, "5+").otherwise(F.abs("semitones").cast("string")).alias("bucket"), "n")
 
 
+@query("""SELECT count(*) AS corrections, round(avg(d), 4) AS mean, median(d) AS median, max(d) AS largest, round(count(*) FILTER (d >= 5) / count(*), 6) AS five_or_more, coalesce(count(*) FILTER (d >= 5) / count(*) > 0.10, FALSE) AS flagged FROM (SELECT abs(target - pitch) AS d FROM fixed WHERE moved)""", ("seg", "note"), FIXED_SQL)
+def distance_summary(spark: SparkSession, d: str) -> DataFrame:
+    """Semitones moved over all corrections; flagged if more than a tenth moved five or more. The distances are at most 6, so the median needs seven counts."""
+    df = op.corrected(cut(tagged_notes(spark, d))).where("moved").groupBy(F.abs(F.col("target") - F.col("pitch")).alias("d")).agg(F.count("*").alias("n"))
+    five = F.try_divide(F.sum(F.when(F.col("d") >= 5, F.col("n")).otherwise(0)), F.sum("n"))
+    return df.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("corrections"), F.round(F.try_divide(F.sum(F.col("d") * F.col("n")), F.sum("n")), 4).alias("mean"), F.percentile("d", 0.5, F.col("n")).alias("median"), F.max("d").alias("largest"), F.round(five, 6).alias("five_or_more"), F.coalesce(five > 0.10, F.lit(False)).alias("flagged"))
+
+
 PROPOSED_SQL = """
 seen AS (SELECT *, lag(pitch_now) OVER w AS q_before, lead(pitch_now) OVER w AS q_after FROM now WINDOW w AS (PARTITION BY song ORDER BY onset_us, note_id)),
 proposed AS (SELECT * FROM (SELECT s.*, CAST(s.pitch_now + m.m AS INT) AS nearest, row_number() OVER (PARTITION BY note_id ORDER BY abs(m.m), coalesce(abs(s.pitch_now + m.m - CASE WHEN q_before IS NULL AND q_after IS NULL THEN NULL ELSE (coalesce(q_before, 0) + coalesce(q_after, 0)) / ((q_before IS NOT NULL)::INT + (q_after IS NOT NULL)::INT) END), 0), m.m) AS k
   FROM seen s, (SELECT unnest(range(-6, 7)) AS m) m WHERE s.tag = 'non_chord_tone' AND NOT s.was_corrected AND (s.mask >> CAST((s.pitch_now + m.m) % 12 AS INT)) & 1 = 1) WHERE k = 1)"""
 
 
-def _proposals(spark: SparkSession, d: str) -> DataFrame:
-    df = with_context(_now(spark, d), "song", "onset_us", "note_id", F.col("pitch_now"), before=1, after=1)
+def _proposals(now: DataFrame) -> DataFrame:
+    df = with_context(now, "song", "onset_us", "note_id", F.col("pitch_now"), before=1, after=1)
     near = F.array_compact(F.array(F.get("prev", F.lit(0)), F.get("next", F.lit(0))))
     df = df.withColumn("average", F.when(F.size(near) > 0, F.aggregate(near, F.lit(0.0), lambda a, x: a + x) / F.size(near))).where("tag = 'non_chord_tone' and not was_corrected")
     return df.withColumn("nearest", op.nearest_tone(F.col("pitch_now"), F.col("mask"), F.col("average")))
@@ -74,20 +83,66 @@ def proposals(spark: SparkSession, d: str) -> DataFrame:
     """The other notes outside their chord with the nearest tone; short ones are kept by default."""
     names = F.array(*(F.lit(n) for n in PITCH_NAMES))
     name = F.concat(F.get(names, F.pmod("pitch_now", F.lit(12))), (F.floor(F.col("pitch_now") / 12) - 1).cast("string"))
-    return _proposals(spark, d).select("note_id", "song", "onset_us", F.expr("(offset_us - onset_us) div 1000").alias("duration_ms"), F.col("pitch_now").alias("current_pitch"), name.alias("current_name"), "nearest", (F.col("nearest") - F.col("pitch_now")).alias("semitones"), F.when(F.col("offset_us") - F.col("onset_us") > 100000, "correct").otherwise("keep").alias("action"))
+    return _proposals(_now(spark, d)).select("note_id", "song", "onset_us", F.expr("(offset_us - onset_us) div 1000").alias("duration_ms"), F.col("pitch_now").alias("current_pitch"), name.alias("current_name"), "nearest", (F.col("nearest") - F.col("pitch_now")).alias("semitones"), F.when(F.col("offset_us") - F.col("onset_us") > 100000, "correct").otherwise("keep").alias("action"))
 
 
-@query("SELECT note_id, song, onset_us, offset_us, pitch_now AS pitch, velocity, seg_start_us, seg_end_us, mask, was_corrected, CASE WHEN was_corrected THEN 'stuck_pitch' END AS correction_type, CASE WHEN was_corrected THEN pitch END AS original_pitch FROM now", ("seg", "note"), FIXED_SQL)
+@query("""SELECT n.note_id, n.song, n.onset_us, n.offset_us, n.pitch_now AS pitch, n.velocity, n.seg_start_us, n.seg_end_us, n.mask, n.song IN (SELECT song FROM fixed WHERE moved) AS used_corrected,
+l.song IS NOT NULL AS was_corrected, CASE WHEN l.song IS NOT NULL THEN 'stuck_pitch' END AS correction_type, l.pitch AS original_pitch FROM now n LEFT JOIN
+(SELECT song, onset_us, target, pitch FROM fixed WHERE moved QUALIFY row_number() OVER (PARTITION BY song, onset_us, target ORDER BY pos DESC) = 1) l ON l.song = n.song AND l.onset_us = n.onset_us AND l.target = n.pitch_now""", ("seg", "note"), FIXED_SQL)
 def note_events_export(spark: SparkSession, d: str) -> DataFrame:
-    """Notes after correction with their chord and the log joined on time and corrected pitch."""
-    return _now(spark, d).select("note_id", "song", "onset_us", "offset_us", F.col("pitch_now").alias("pitch"), "velocity", "seg_start_us", "seg_end_us", "mask", "was_corrected", F.when(F.col("was_corrected"), "stuck_pitch").alias("correction_type"), F.when(F.col("was_corrected"), F.col("pitch")).alias("original_pitch"))
+    """Notes with their chord and the changelog joined on song, onset and corrected pitch.
+
+    A song's corrected notes are used if it has any correction, else its merged ones.
+    """
+    now = cut(_now(spark, d))
+    moved = now.where("was_corrected")
+    log = op.last_entries(moved.select("song", "onset_us", F.col("pitch_now").alias("corrected_pitch"), F.col("pitch").alias("original_pitch"), F.col("note_id").alias("place")))
+    used = moved.groupBy("song").agg(F.lit(True).alias("used"))
+    merged = now.select("note_id", "song", "onset_us", "offset_us", F.col("pitch").alias("merged_pitch"), F.when(F.col("was_corrected"), F.col("pitch_now")).alias("corrected"), "velocity", "seg_start_us", "seg_end_us", "mask").join(used, "song", "left")
+    notes = merged.withColumn("pitch", F.coalesce(F.when(F.col("used"), F.col("corrected")), F.col("merged_pitch")))
+    df = notes.join(log.withColumnRenamed("corrected_pitch", "pitch"), ["song", "onset_us", "pitch"], "left")
+    hit = F.col("original_pitch").isNotNull()
+    return df.select("note_id", "song", "onset_us", "offset_us", "pitch", "velocity", "seg_start_us", "seg_end_us", "mask", F.coalesce("used", F.lit(False)).alias("used_corrected"), hit.alias("was_corrected"), F.when(hit, "stuck_pitch").alias("correction_type"), "original_pitch")
+
+
+SUMMARY_SQL = """
+summary AS (SELECT p.song, count(*) AS n_notes, count(*) FILTER (was_corrected) AS corrected, count(*) FILTER (target IS NOT NULL AND NOT was_corrected) AS skipped, count(*) FILTER (tag = 'chord_tone') AS inside, count(*) FILTER (tag = 'non_chord_tone') AS outside, count(*) FILTER (tag = 'no_chord_data') AS no_chord_data,
+round(count(*) FILTER (was_corrected) / count(*), 4) AS rate, round(avg(abs(target - pitch)) FILTER (was_corrected), 2) AS mean_distance, count(*) FILTER (was_corrected AND abs(target - pitch) <= 2) AS moved_1_2, count(*) FILTER (was_corrected AND abs(target - pitch) BETWEEN 3 AND 4) AS moved_3_4, count(*) FILTER (was_corrected AND abs(target - pitch) >= 5) AS moved_5_up,
+CASE WHEN count(*) FILTER (was_corrected) > 0 THEN 'ok' ELSE 'ok_no_corrections' END AS status, count(*) FILTER (was_corrected) = 0 AND count(*) FILTER (tag <> 'no_chord_data') = 0 AS suspicious_zero FROM now p GROUP BY p.song)"""
+
+
+def _summary(now: DataFrame) -> DataFrame:
+    distance = F.when(F.col("was_corrected"), F.abs(F.col("target") - F.col("pitch")))
+    df = now.groupBy("song").agg(
+        F.count("*").alias("n_notes"), F.count_if("was_corrected").alias("corrected"), F.count_if(F.col("target").isNotNull() & ~F.col("was_corrected")).alias("skipped"),
+        *(F.count_if(F.col("tag") == t).alias(c) for t, c in (("chord_tone", "inside"), ("non_chord_tone", "outside"), ("no_chord_data", "no_chord_data"))),
+        F.round(F.avg(distance), 2).alias("mean_distance"), F.count_if(distance <= 2).alias("moved_1_2"), F.count_if(distance.between(3, 4)).alias("moved_3_4"), F.count_if(distance >= 5).alias("moved_5_up"),
+    )
+    return df.withColumns({"rate": F.round(F.col("corrected") / F.col("n_notes"), 4), "status": F.when(F.col("corrected") > 0, "ok").otherwise("ok_no_corrections"), "suspicious_zero": (F.col("corrected") == 0) & (F.col("inside") + F.col("outside") == 0)})
 
 
-@query("""SELECT p.song, count(*) AS n_notes, count(*) FILTER (was_corrected) AS corrected, count(*) FILTER (target IS NOT NULL AND NOT was_corrected) AS skipped, count(*) FILTER (tag = 'non_chord_tone') AS outside,
-round(count(*) FILTER (was_corrected) / count(*), 4) AS rate, CASE WHEN count(*) FILTER (was_corrected) > 0 THEN 'ok' ELSE 'ok_no_corrections' END AS status, count(*) FILTER (was_corrected) = 0 AND count(*) FILTER (tag <> 'no_chord_data') = 0 AS suspicious_zero FROM now p GROUP BY p.song""", ("seg", "note"), FIXED_SQL)
+@query("""SELECT s.*, coalesce(p.n, 0) AS proposals, coalesce(p.yes, 0) AS proposals_correct, coalesce(p.n - p.yes, 0) AS proposals_keep FROM summary s LEFT JOIN (SELECT song, count(*) AS n, count(*) FILTER (offset_us - onset_us > 100000) AS yes FROM proposed GROUP BY song) p ON p.song = s.song""", ("seg", "note"), (*FIXED_SQL, PROPOSED_SQL, SUMMARY_SQL))
 def correction_summary(spark: SparkSession, d: str) -> DataFrame:
-    df = _now(spark, d).groupBy("song").agg(F.count("*").alias("n_notes"), F.count_if("was_corrected").alias("corrected"), F.count_if(F.col("target").isNotNull() & ~F.col("was_corrected")).alias("skipped"), F.count_if(F.col("tag") == "non_chord_tone").alias("outside"), F.count_if(F.col("tag") != "no_chord_data").alias("with_chord"))
-    return df.select("song", "n_notes", "corrected", "skipped", "outside", F.round(F.col("corrected") / F.col("n_notes"), 4).alias("rate"), F.when(F.col("corrected") > 0, "ok").otherwise("ok_no_corrections").alias("status"), ((F.col("corrected") == 0) & (F.col("with_chord") == 0)).alias("suspicious_zero"))
+    """Per song: tags, corrections by distance, and proposals by their default action."""
+    now = cut(_now(spark, d))
+    proposed = _proposals(now).groupBy("song").agg(F.count("*").alias("proposals"), F.count_if(F.col("offset_us") - F.col("onset_us") > 100000).alias("proposals_correct"))
+    df = _summary(now).join(proposed, "song", "left").na.fill(0, ["proposals", "proposals_correct"])
+    return df.withColumn("proposals_keep", F.col("proposals") - F.col("proposals_correct"))
+
+
+@query("SELECT song, corrected, n_notes, rate FROM summary WHERE status = 'ok' ORDER BY corrected / n_notes DESC, song LIMIT 10", ("seg", "note"), (*FIXED_SQL, SUMMARY_SQL))
+def top_correction_rates(spark: SparkSession, d: str) -> DataFrame:
+    """The ten songs with most corrections a note (the report's length is its feature)."""
+    return _summary(_now(spark, d)).where("status = 'ok'").orderBy(F.desc(F.col("corrected") / F.col("n_notes")), "song").limit(10).select("song", "corrected", "n_notes", "rate")
+
+
+@query("""SELECT e.song, CASE WHEN p.song IS NOT NULL THEN 'ok' WHEN f.song IS NOT NULL THEN 'failed' ELSE 'not_processed' END AS status FROM (SELECT DISTINCT song FROM (SELECT song FROM seg UNION SELECT song FROM gt)) e
+LEFT JOIN (SELECT DISTINCT song FROM tagged WHERE tag = 'non_chord_tone') p ON p.song = e.song LEFT JOIN (SELECT DISTINCT song FROM chord_review_candidates WHERE segment_index IS NOT NULL AND (density IS NULL OR isnan(density))) f ON f.song = e.song""", ("seg", "note", "gt"), (TAGGED_SQL,))
+def song_statuses(spark: SparkSession, d: str) -> DataFrame:
+    """Songs with segments or annotations: processed (some note lies outside its chord), failed (a segment could not be scored) or neither."""
+    eligible = music.segments(spark, d).select("song").union(music.annotations(spark, d).select("song"))
+    failed = table(spark, d, "chord_review_candidates").where("song is not null and segment_index is not null and (density is null or isnan(density))")
+    return op.song_status(eligible, tagged_notes(spark, d).where("tag = 'non_chord_tone'"), failed)
 
 
 @query("""SELECT song, round(before / n, 4) AS before_rate, round(after / n, 4) AS after_rate, CASE WHEN after / n > 0.20 THEN 'high' WHEN after / n > 0.15 THEN 'watch' ELSE '' END AS flag FROM
@@ -99,6 +154,17 @@ def before_after(spark: SparkSession, d: str) -> DataFrame:
     return df.select("song", F.round(F.col("b") / F.col("n"), 4).alias("before_rate"), F.round(rate, 4).alias("after_rate"), F.when(rate > 0.20, "high").when(rate > 0.15, "watch").otherwise("").alias("flag")).orderBy(F.desc("after_rate"), "song")
 
 
+@query("""SELECT song, place, note_id, unnest(list_filter(['changed without an entry', 'entry with another pitch', 'corrected outside the chord', 'entry without a change'], lambda x, i: CASE i WHEN 1 THEN changed AND entry IS NULL WHEN 2 THEN changed AND entry <> pitch_now WHEN 3 THEN changed AND (mask >> CAST(pitch_now % 12 AS INT)) & 1 = 0 ELSE NOT changed AND entry IS NOT NULL END)) AS problem FROM
+(SELECT n.song, n.pos AS place, n.note_id, n.pitch_now <> n.pitch AS changed, n.pitch_now, n.mask, (SELECT arg_min(a.target, struct_pack(t := a.onset_us, p := a.target)) FROM aimed a WHERE a.song = n.song AND a.pitch = n.pitch AND a.onset_us BETWEEN n.onset_us - 100 AND n.onset_us + 100) AS entry FROM now n)""", ("seg", "note"), FIXED_SQL)
+def reconciliation(spark: SparkSession, d: str) -> DataFrame:
+    """The merged notes, the notes after the collision-aware pass, and the changelog of a pass that ignores collisions: where they disagree."""
+    now = cut(_now(spark, d))
+    merged = now.select("song", F.col("note_id").alias("id"), "onset_us", "pitch", "mask")
+    after = now.select("song", F.col("note_id").alias("id"), "onset_us", F.col("pitch_now").alias("pitch"))
+    log = now.where("target is not null").select("song", "onset_us", F.col("pitch").alias("original_pitch"), F.col("target").alias("corrected_pitch"))
+    return op.reconcile(merged, after, log)
+
+
 @query("""SELECT 'corrected_outside_chord' AS rule, count(*) FILTER (was_corrected AND (mask >> CAST(pitch_now % 12 AS INT)) & 1 = 0) AS n FROM now UNION ALL SELECT 'changed_without_log', count(*) FILTER (NOT was_corrected AND pitch_now <> pitch) FROM now
 UNION ALL SELECT 'log_without_note', count(*) FROM fixed f WHERE f.moved AND NOT EXISTS (SELECT 1 FROM now n WHERE n.song = f.song AND n.pitch_now = f.target AND abs(n.onset_us - f.onset_us) <= 100) UNION ALL SELECT 'unpaired', 0""", ("seg", "note"), FIXED_SQL)
 def consistency_check(spark: SparkSession, d: str) -> DataFrame:

@@ -75,13 +75,15 @@ def corpus_totals(spark: SparkSession, d: str) -> DataFrame:
     return df.select("songs", "n_notes", F.round(rate, 6).alias("rate"), F.when(rate > 0.20, "high").when(rate > 0.15, "watch").otherwise("").alias("flag"))
 
 
-@query("""SELECT song, seg_start_us, count(*) AS n, count(*) FILTER (tag = 'non_chord_tone') AS n_out, array_to_string(list(CAST(pitch AS VARCHAR) || CASE WHEN tag = 'non_chord_tone' THEN '*' ELSE '' END ORDER BY onset_us, note_id), ' ') AS notes
-FROM tagged WHERE seg_start_us IS NOT NULL GROUP BY song, seg_start_us""", ("seg", "note"), (TAGGED_SQL,))
+@query("""SELECT e.song, e.start_us AS seg_start_us, coalesce(t.n, 0) AS n, coalesce(t.n_out, 0) AS n_out, coalesce(round(t.n_out / t.n, 6), 0) AS density, coalesce(t.n_out / t.n >= 0.5, FALSE) AS dense, coalesce(t.notes, '') AS notes FROM (SELECT DISTINCT song, start_us FROM ends) e LEFT JOIN
+(SELECT song, seg_start_us, count(*) AS n, count(*) FILTER (tag = 'non_chord_tone') AS n_out, array_to_string(list(CAST(pitch AS VARCHAR) || CASE WHEN tag = 'non_chord_tone' THEN '*' ELSE '' END ORDER BY onset_us, note_id), ' ') AS notes FROM tagged WHERE seg_start_us IS NOT NULL GROUP BY song, seg_start_us) t ON t.song = e.song AND t.seg_start_us = e.start_us""", ("seg", "note"), (TAGGED_SQL,))
 def investigate_segments(spark: SparkSession, d: str) -> DataFrame:
-    """Each segment with its notes in time order, those outside the chord marked."""
+    """Every segment with its notes in time order, those outside the chord marked; empty segments have density 0."""
     mark = F.concat(F.col("pitch").cast("string"), F.when(F.col("tag") == "non_chord_tone", "*").otherwise(""))
     df = tagged_notes(spark, d).where("seg_start_us is not null").groupBy("song", "seg_start_us").agg(F.count("*").alias("n"), F.count_if(F.col("tag") == "non_chord_tone").alias("n_out"), F.array_sort(F.collect_list(F.struct("onset_us", "note_id", mark.alias("m")))).alias("x"))
-    return df.select("song", "seg_start_us", "n", "n_out", F.array_join(F.transform("x", lambda x: x.m), " ").alias("notes"))
+    every = music.segments(spark, d).where("mask is not null and end_us is not null").select("song", F.col("start_us").alias("seg_start_us")).distinct()
+    df, density = every.join(df, ["song", "seg_start_us"], "left"), F.col("n_out") / F.col("n")
+    return df.select("song", "seg_start_us", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("n_out", F.lit(0)).alias("n_out"), F.coalesce(F.round(density, 6), F.lit(0.0)).alias("density"), F.coalesce(density >= 0.5, F.lit(False)).alias("dense"), F.coalesce(F.array_join(F.transform("x", lambda x: x.m), " "), F.lit("")).alias("notes"))
 
 
 CHORDNOTES_SQL = "chordnote AS (SELECT song, idx, start_us, end_us, p.pc AS pc FROM seg, (SELECT unnest(range(12)) AS pc) p WHERE (mask >> p.pc) & 1 = 1)"
@@ -99,10 +101,16 @@ def chord_segments(spark: SparkSession, d: str) -> DataFrame:
     return df.select("song", "idx", "start_us", "end_us", F.array_join(F.transform("pcs", lambda x: x.cast("string")), ",").alias("pitch_class_set"))
 
 
-@query("""SELECT song, start_us, pc, dense_rank() OVER (PARTITION BY song ORDER BY start_us, end_us, idx) - 1 AS segment FROM chordnote""", ("seg",), (CHORDNOTES_SQL,))
+@query("""SELECT song, start_us, pc, CAST(sum(new) OVER (PARTITION BY song ORDER BY start_us, end_us NULLS FIRST, idx, pc ROWS UNBOUNDED PRECEDING) AS BIGINT) - 1 AS segment FROM
+(SELECT *, CASE WHEN row(start_us, end_us) IS DISTINCT FROM lag(row(start_us, end_us)) OVER (PARTITION BY song ORDER BY start_us, end_us NULLS FIRST, idx, pc) THEN 1 ELSE 0 END AS new FROM chordnote)""", ("seg",), (CHORDNOTES_SQL,))
 def segment_sessionize(spark: SparkSession, d: str) -> DataFrame:
-    """Chord notes numbered by the change of (onset, offset): the segment rows are numbered, then their notes follow."""
-    segs = with_context(chord_notes(spark, d).groupBy("song", "idx").agg(F.min("start_us").alias("start_us"), F.min("end_us").alias("end_us"), F.collect_list("pc").alias("pcs")), "song", "start_us", "idx", F.lit(1))
+    """Chord notes in time order, numbered by the change of (onset, offset): a note belongs to a new segment if either differs from the note before.
+
+    In that order notes of one (onset, offset) are neighbours, so the segments are
+    numbered by their keys and no note is compared with another.
+    """
+    keyed = chord_notes(spark, d).groupBy("song", "start_us", "end_us").agg(F.collect_list("pc").alias("pcs"))
+    segs = with_context(keyed, "song", "start_us", "end_us", F.lit(1))
     return segs.select("song", "start_us", F.explode("pcs").alias("pc"), F.col("pos").alias("segment"))
 
 

@@ -13,17 +13,23 @@ from cantus.plans.registry import query
 from cantus.plans.storage import table
 from cantus.sources import music
 
-# Drum note length, ticks a second, programs of the merged tracks, level marks.
-DRUM_NOTE_US, TICKS_A_SECOND, BASS_PROGRAM, OTHER_PROGRAM = 50_000, 960, 33, 0
+# Drum note length and velocity, ticks a second, programs of the merged tracks, level marks.
+DRUM_NOTE_US, DRUM_VELOCITY, TICKS_A_SECOND, BASS_PROGRAM, OTHER_PROGRAM = 50_000, 100, 960, 33, 0
 
 
-@query("""SELECT song, annotation_id, is_on, tick, tick - coalesce(lag(tick) OVER (PARTITION BY song ORDER BY t, is_on, annotation_id), 0) AS delta FROM (SELECT song, annotation_id, onset_us + e.o * 50000 AS t, e.o = 0 AS is_on, (onset_us + e.o * 50000) * 960 // 1000000 AS tick FROM gt, (SELECT unnest([0, 1]) AS o) e WHERE stem = 'drums' AND onset_us IS NOT NULL)""", ("gt",))
+@query("""SELECT song, annotation_id, is_on, pitch, CASE WHEN is_on THEN 100 ELSE 0 END AS velocity, tick, greatest(0, tick - coalesce(max(tick) OVER (PARTITION BY song ORDER BY t, is_on, annotation_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS delta FROM
+(SELECT song, annotation_id, pitch, onset_us + e.o * 50000 AS t, e.o = 0 AS is_on, CAST(round_even((onset_us + e.o * 50000) / 1000000.0 * 960, 0) AS BIGINT) AS tick FROM gt, (SELECT unnest([0, 1]) AS o) e WHERE stem = 'drums' AND onset_us IS NOT NULL)""", ("gt",))
 def drum_events(spark: SparkSession, d: str) -> DataFrame:
-    """Drum onsets as on and off events in ticks, offs first at equal times, with the delta to the event before."""
-    df = music.annotations(spark, d).where("stem = 'drums' and onset_us is not null").select("song", "annotation_id", F.explode(F.array(F.struct(F.col("onset_us").alias("t"), F.lit(True).alias("is_on")), F.struct((F.col("onset_us") + DRUM_NOTE_US).alias("t"), F.lit(False).alias("is_on")))).alias("e")).select("song", "annotation_id", "e.*")
-    df = df.withColumn("tick", F.expr(f"t * {TICKS_A_SECOND} div 1000000")).withColumn("tie", F.struct("is_on", "annotation_id"))
+    """Drum onsets as on and off events in ticks, rounded to the nearest, offs first at equal times, each with its ticks since the latest event before.
+
+    Events are in the order of their times and rounding keeps that order, so the tick of
+    the event before is the running maximum. No time lies halfway between two ticks:
+    960 ticks a second are 3 a 3,125 microseconds.
+    """
+    df = music.annotations(spark, d).where("stem = 'drums' and onset_us is not null").select("song", "annotation_id", "pitch", F.explode(F.array(F.struct(F.col("onset_us").alias("t"), F.lit(True).alias("is_on")), F.struct((F.col("onset_us") + DRUM_NOTE_US).alias("t"), F.lit(False).alias("is_on")))).alias("e")).select("song", "annotation_id", "pitch", "e.*")
+    df = df.withColumn("tick", F.expr(f"(2 * t * {TICKS_A_SECOND} + 1000000) div 2000000")).withColumn("tie", F.struct("is_on", "annotation_id"))
     df = with_context(df, "song", "t", "tie", F.col("tick"), before=1)
-    return df.select("song", "annotation_id", "is_on", "tick", F.greatest(F.lit(0), F.col("tick") - F.coalesce(F.get("prev", F.lit(0)), F.lit(0))).alias("delta"))
+    return df.select("song", "annotation_id", "is_on", "pitch", F.when(F.col("is_on"), DRUM_VELOCITY).otherwise(0).alias("velocity"), "tick", F.greatest(F.lit(0), F.col("tick") - F.coalesce(F.get("prev", F.lit(0)), F.lit(0))).alias("delta"))
 
 
 @query("""SELECT s.song, s.track, CASE s.track WHEN 'bass' THEN 33 WHEN 'drums' THEN NULL ELSE 0 END AS program, s.track = 'drums' AS is_drum, count(t.song) AS n_notes, count(t.song) = 0 AS empty, max(coalesce(t.offset_us, t.onset_us)) AS end_us

@@ -52,6 +52,24 @@ def chord_ngrams(spark: SparkSession, d: str) -> DataFrame:
     return per_song.groupBy("n", "ngram").agg(F.sum("c").alias("total_occurrences"), F.count("*").alias("song_count"), F.min(F.struct((-F.col("c")).alias("c"), "song")).alias("x")).select("n", "ngram", "total_occurrences", "song_count", F.col("x.song").alias("example_song"), (-F.col("x.c")).alias("example_song_count"))
 
 
+NGRAM_SQL = """
+sym AS (SELECT song, cls AS a, lead(cls, 1) OVER w AS b, lead(cls, 2) OVER w AS c3 FROM seg WHERE cls IS NOT NULL WINDOW w AS (PARTITION BY song ORDER BY start_us, idx)),
+gram AS (SELECT song, 2 AS n, a || '|' || b AS ngram FROM sym WHERE b IS NOT NULL UNION ALL SELECT song, 3, a || '|' || b || '|' || c3 FROM sym WHERE c3 IS NOT NULL)"""
+
+
+@query("SELECT n, ngram, count(DISTINCT song) AS song_count, count(*) AS total_occurrences FROM gram GROUP BY n, ngram ORDER BY song_count DESC, total_occurrences DESC, n, ngram LIMIT 15", ("seg",), (NGRAM_SQL,))
+def top_ngrams(spark: SparkSession, d: str) -> DataFrame:
+    """The fifteen n-grams of most songs (the report's length is its feature)."""
+    return chord_ngrams(spark, d).orderBy(F.desc("song_count"), F.desc("total_occurrences"), "n", "ngram").limit(15).select("n", "ngram", "song_count", "total_occurrences")
+
+
+@query("SELECT round(sum(n * n) / pow(sum(n), 2), 6) AS root_equal FROM (SELECT root, count(*)::DOUBLE AS n FROM seg WHERE root IS NOT NULL GROUP BY root)", ("seg",))
+def corpus_root_equal(spark: SparkSession, d: str) -> DataFrame:
+    """Probability that two chords drawn by their frequency have one root (twelve counts)."""
+    n = music.segments(spark, d).where("root is not null").groupBy("root").agg(F.count("*").cast("double").alias("n"))
+    return n.agg(F.round(F.sum(F.col("n") * F.col("n")) / F.pow(F.sum("n"), F.lit(2.0)), 6).alias("root_equal"))
+
+
 @query("SELECT CASE WHEN gap_us < 10000 THEN 'below 0.01' WHEN gap_us < 50000 THEN 'below 0.05' WHEN gap_us <= 200000 THEN '0.05 to 0.2' ELSE 'above 0.2' END AS bucket, count(*) AS n FROM step WHERE gap_us IS NOT NULL GROUP BY bucket", ("note",), (INTERVAL_SQL,))
 def gap_buckets(spark: SparkSession, d: str) -> DataFrame:
     """Onset gaps to the note before, in four buckets."""

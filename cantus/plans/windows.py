@@ -5,41 +5,43 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cantus.operators.correction import corrected
 from cantus.operators.ordered import densest_windows, with_context
+from cantus.plans.correction import FIXED_SQL
 from cantus.plans.harmony import TAGGED_SQL, tagged_notes
 from cantus.plans.registry import query
 from cantus.plans.storage import cut
 from cantus.sources import music
 
-DENSE_SQL = "counted AS (SELECT song, onset_us, count(*) OVER (PARTITION BY song ORDER BY onset_us RANGE BETWEEN CURRENT ROW AND 20000000 FOLLOWING) AS n FROM tagged WHERE tag = 'non_chord_tone'), dense AS (SELECT song, arg_min(onset_us, struct_pack(a := -n, b := onset_us)) AS from_us, max(n) AS n FROM counted GROUP BY song)"
+DENSE_SQL = """
+logged AS (SELECT song, onset_us FROM fixed WHERE moved),
+ended AS (SELECT song, onset_us, count(*) OVER w AS n, min(onset_us) OVER w AS first_us FROM logged WINDOW w AS (PARTITION BY song ORDER BY onset_us RANGE BETWEEN 20000000 PRECEDING AND CURRENT ROW)),
+dense AS (SELECT song, arg_min(first_us, struct_pack(a := -n, b := onset_us)) AS from_us, arg_min(onset_us, struct_pack(a := -n, b := onset_us)) AS to_us, max(n) AS n FROM ended GROUP BY song)"""
 
 
-def _outside(spark: SparkSession, d: str) -> DataFrame:
-    return tagged_notes(spark, d).where("tag = 'non_chord_tone'").select("song", "onset_us")
-
-
-@query("SELECT song, from_us, n FROM dense", ("seg", "note"), (TAGGED_SQL, DENSE_SQL))
+@query("SELECT song, from_us, to_us, n FROM dense", ("seg", "note"), (*FIXED_SQL, DENSE_SQL))
 def densest_window(spark: SparkSession, d: str) -> DataFrame:
-    """Per song the 20 seconds with most notes outside their chord; the earliest wins."""
-    return densest_windows(_outside(spark, d), 20_000_000)
+    """Per song the most corrections within 20 seconds, from the first to the last of them; the earliest wins."""
+    log = corrected(cut(tagged_notes(spark, d))).where("moved").select("song", "onset_us")
+    return densest_windows(log, 20_000_000)
 
 
-@query("""SELECT t.song, CASE WHEN dense.song IS NULL THEN 0 ELSE greatest(0, from_us - 3000000) END AS view_from_us, CASE WHEN dense.song IS NULL THEN least(30000000, max(onset_us) + 1000000) ELSE from_us + 20000000 + 3000000 END AS view_to_us
-FROM tagged t LEFT JOIN dense ON dense.song = t.song GROUP BY t.song, dense.song, from_us""", ("seg", "note"), (TAGGED_SQL, DENSE_SQL))
+@query("""SELECT n.song, CASE WHEN dense.song IS NULL THEN 0 ELSE greatest(0, from_us - 3000000) END AS view_from_us, CASE WHEN dense.song IS NULL THEN least(30000000, max(onset_us) + 1000000) ELSE to_us + 3000000 END AS view_to_us
+FROM note n LEFT JOIN dense ON dense.song = n.song GROUP BY n.song, dense.song, from_us, to_us""", ("seg", "note"), (*FIXED_SQL, DENSE_SQL))
 def default_view(spark: SparkSession, d: str) -> DataFrame:
-    """The densest window with three seconds around it, or the song's first 30 seconds."""
-    tagged = cut(tagged_notes(spark, d).select("song", "onset_us", "tag"))
-    dense = densest_windows(tagged.where("tag = 'non_chord_tone'").select("song", "onset_us"), 20_000_000)
+    """The densest corrections with three seconds around them, or the song's first 30 seconds."""
+    tagged = cut(tagged_notes(spark, d))
+    dense = densest_windows(corrected(tagged).where("moved").select("song", "onset_us"), 20_000_000)
     df = tagged.groupBy("song").agg(F.max("onset_us").alias("last")).join(dense, "song", "left")
-    return df.select("song", F.when(F.col("from_us").isNull(), 0).otherwise(F.greatest(F.lit(0), F.col("from_us") - 3_000_000)).alias("view_from_us"), F.when(F.col("from_us").isNull(), F.least(F.lit(30_000_000), F.col("last") + 1_000_000)).otherwise(F.col("from_us") + 23_000_000).alias("view_to_us"))
+    return df.select("song", F.when(F.col("from_us").isNull(), 0).otherwise(F.greatest(F.lit(0), F.col("from_us") - 3_000_000)).alias("view_from_us"), F.when(F.col("from_us").isNull(), F.least(F.lit(30_000_000), F.col("last") + 1_000_000)).otherwise(F.col("to_us") + 3_000_000).alias("view_to_us"))
 
 
-@query("""SELECT song, from_us, to_us, n_notes, n_outside, round(n_outside / n_notes, 6) AS density FROM (SELECT *, row_number() OVER (PARTITION BY song ORDER BY n_notes >= 15 DESC, n_outside / n_notes DESC, n_notes DESC, from_us, to_us) AS k FROM
+@query("""SELECT song, mode, from_us, to_us, n_notes, n_outside, round(n_outside / n_notes, 6) AS density FROM (SELECT *, row_number() OVER (PARTITION BY song, mode ORDER BY n_notes >= 15 DESC, CASE mode WHEN 'max' THEN -n_outside / n_notes ELSE n_outside / n_notes END, n_notes DESC, from_us, to_us) AS k FROM
 (SELECT w.song, w.from_us, w.to_us, count(*) AS n_notes, count(*) FILTER (t.tag = 'non_chord_tone') AS n_outside FROM
 (SELECT a.song, a.start_us AS from_us, b.end_us AS to_us FROM seg a JOIN seg b ON a.song = b.song AND b.start_us >= a.start_us AND b.end_us - a.start_us BETWEEN 20000000 AND 30000000) w
-JOIN tagged t ON t.song = w.song AND t.onset_us >= w.from_us AND t.onset_us < w.to_us AND t.tag <> 'no_chord_data' GROUP BY ALL)) WHERE k = 1""", ("seg", "note"), (TAGGED_SQL,))
+JOIN tagged t ON t.song = w.song AND t.onset_us >= w.from_us AND t.onset_us < w.to_us AND t.tag <> 'no_chord_data' GROUP BY ALL), (SELECT unnest(['max', 'min']) AS mode)) WHERE k = 1""", ("seg", "note"), (TAGGED_SQL,))
 def best_excerpt(spark: SparkSession, d: str) -> DataFrame:
-    """Per song the run of segments of 20 to 30 seconds with the densest disagreement; at least 15 notes if any run has them.
+    """Per song the runs of segments of 20 to 30 seconds with the most and the least dense disagreement; at least 15 notes if any run has them.
 
     Both range joins meet in time cells of 30 seconds. Notes are counted by cumulative
     counts at the two ends of a run, not by joining every note to every run.
@@ -57,8 +59,11 @@ def best_excerpt(spark: SparkSession, d: str) -> DataFrame:
     runs = a.join(b, ["song", "cell"]).where("b_start >= from_us and to_us - from_us between 20000000 and 30000000").select("song", "from_us", "to_us")
     at = lambda s: upto.select("song", F.col("t").alias(f"{s}_us"), F.col("notes").alias(f"{s}_n"), F.col("outside").alias(f"{s}_o"))
     scored = runs.join(at("from"), ["song", "from_us"]).join(at("to"), ["song", "to_us"]).select("song", "from_us", "to_us", (F.col("to_n") - F.col("from_n")).alias("n_notes"), (F.col("to_o") - F.col("from_o")).alias("n_outside")).where("n_notes > 0")
-    order = F.struct((F.col("n_notes") >= 15).alias("enough"), (F.col("n_outside") / F.col("n_notes")).alias("density"), F.col("n_notes").alias("n"), (-F.col("from_us")).alias("f"), (-F.col("to_us")).alias("t"))
-    return scored.groupBy("song").agg(F.max_by(F.struct("from_us", "to_us", "n_notes", "n_outside"), order).alias("x")).select("song", "x.*").withColumn("density", F.round(F.col("n_outside") / F.col("n_notes"), 6))
+    density = F.col("n_outside") / F.col("n_notes")
+    order = lambda sign: F.struct((F.col("n_notes") >= 15).alias("enough"), (sign * density).alias("density"), F.col("n_notes").alias("n"), (-F.col("from_us")).alias("f"), (-F.col("to_us")).alias("t"))
+    best = lambda sign, mode: F.struct(F.lit(mode).alias("mode"), F.max_by(F.struct("from_us", "to_us", "n_notes", "n_outside"), order(sign)).alias("x"))
+    both = scored.groupBy("song").agg(F.array(best(1.0, "max"), best(-1.0, "min")).alias("b")).select("song", F.explode("b").alias("b"))
+    return both.select("song", "b.mode", "b.x.*").withColumn("density", F.round(density, 6))
 
 
 @query("""SELECT song, onset_us AS at_us, 'note' AS kind, CAST(pitch AS VARCHAR) AS what FROM tagged WHERE onset_us >= 10000000 AND onset_us < 20000000 UNION ALL
