@@ -6,9 +6,10 @@ attributes that are rare by construction: artist with title, title with artist,
 tolerant of one slip of the pen, and artist, length and the start of the title. Rows
 that share attributes are candidate edges, weighted by the rarity of what they share.
 Meta-blocking keeps the edges that are strong for one of their rows. Edge confidences
-then start from the compared fields and are refined by what their neighbours say
-(other edges between the same two artists, rival edges of the same row) until they
-no longer change.
+then start from the compared fields and the rarity, and are refined by what their
+neighbours say until they settle: other edges between the same two artists prove that
+two spellings are one artist and make up for what the names lack, and a better rival
+of the same row speaks against an edge. Equal rows are compared once.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cantus.plans.storage import cut
+from cantus.plans.storage import cut, release
 
 # The Revised Romanization of Korean, letter by letter.
 INITIALS = "g kk n d tt r m b pp s ss - j jj ch k t p h".replace("-", "").split(" ")
@@ -119,7 +120,19 @@ def album_key(album: str | None) -> str:
     return squeeze(re.sub(r"\s*(?:[(\[][^)\]]*(?:deluxe|edition|remaster)[^)\]]*[)\]]|\s-\s(?:EP|Single))\s*$", "", album, flags=re.I)) if album else ""
 
 
-def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _starts(a: str, t: str, v: str, short: bool, side: str) -> set[str]:
+    """Keys by which a title cut short meets those that begin like it; two whole titles share none of them."""
+    other = "r" if side == "l" else "l"
+    if not short:
+        return {f"p{side}|{a}|{t[:n]}|{v}" for n in range(3, 9)}
+    return {f"p{other}|{a}|{t[:8]}|{v}"} | {f"ps|{a}|{t[:n]}|{v}" for n in range(3, 9)}
+
+
+def _reader(side: str):
+    return lambda batches: _read(batches, side)
+
+
+def _read(batches: Iterator[pd.DataFrame], side: str) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         out = []
         for row_id, title, artist, album, ms in zip(pdf["row_id"], pdf["title"], pdf["artist"], pdf["album"], pdf["duration_ms"]):
@@ -129,11 +142,7 @@ def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 a, t, v = r["artist"], r["title"], r["version"]
                 keys = {f"at|{a}|{x}|{v}" for x in _deletions(t) | _deletions(r["title_own"])} | {f"ta|{t}|{x}|{v}" for x in _deletions(a) | _deletions(r["artist_own"])}
                 keys |= {f"s|{a}|{t[:4]}|{n}|{v}" for n in near} | {f"x|{t}|{n}|{x}|{v}" for n in near for x in {a[:4], a[-4:]}} | {f"b|{a}|{r['base']}|{v}"}
-                # a title cut short meets those that begin like it
-                if r["short"]:
-                    keys.add(f"p|{a}|{t[:8]}|{v}")
-                else:
-                    keys |= {f"p|{a}|{t[:n]}|{v}" for n in range(3, 9)}
+                keys |= _starts(a, t, v, r["short"], side)
                 out.append((row_id, k, *(r[c] for c in ("artist", "title", "base", "artist_own", "title_own", "short", "version")), length, album_key(album), sorted(keys)))
         yield pd.DataFrame(out, columns=[c.split()[0] for c in READING.split(", ")])
 
@@ -193,57 +202,93 @@ def _score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             if not t or not a:
                 continue
             # exact names carry a match alone unless length and album both speak against it; inexact ones need support
-            base = 0.72 - 2.2 * (1 - t) - 1.0 * (1 - a) + 0.2 * length + 0.12 * album
-            out.append((r["left_id"], r["right_id"], r["l_artist"], r["r_artist"], float(r["weight"]), float(min(0.99, max(0.0, base)))))
-        yield pd.DataFrame(out, columns=["left_id", "right_id", "left_artist", "right_artist", "weight", "base"])
+            base = 0.72 - 2.2 * (1 - t) - 1.0 * (1 - a) + 0.2 * length + 0.12 * album + RARITY * (float(r["rarity"]) - 0.9)
+            out.append((r["left_id"], r["right_id"], r["l_artist"], r["r_artist"], float(r["weight"]), float(min(0.99, base)), float(1 - a)))
+        yield pd.DataFrame(out, columns=["left_id", "right_id", "left_artist", "right_artist", "weight", "base", "doubt"])
 
 
-def link(left: DataFrame, right: DataFrame, least: float = 0.4, keep: float = 0.3) -> tuple[DataFrame, DataFrame]:
-    """(matches: left_id, right_id, confidence; all scored edges).
+RARITY, AROUND, RIVAL = 0.2, 0.1, 0.2
+SETTLED, MOST_ROUNDS = 1e-5, 200
 
-    Both sides have (row_id, title, artist, album, duration_ms). Repeated rows are one
-    row. A row without a title or artist in any reading matches nothing; missing
-    albums and lengths are no evidence. Versions (live, acoustic, remix, instrumental,
-    demo) must agree. A right row keeps its best left row; a left row may have several
-    right rows. Of equally good left rows the smaller id is kept.
-    """
-    def read(df: DataFrame) -> DataFrame:
-        df = df.select("row_id", "title", "artist", "album", F.col("duration_ms").cast("double").alias("duration_ms")).where("row_id is not null")
-        return df.dropDuplicates().mapInPandas(_read, READING)
 
-    lefts, rights = cut(read(left)), cut(read(right))
+def refined(scored: DataFrame, rounds: int = MOST_ROUNDS) -> DataFrame:
+    """Edges with their confidences moved by their neighbours' until no confidence moves by ``SETTLED``.
+
+    The artists' edges move a confidence by at most ``doubt`` + AROUND (doubt is at most
+    0.25) and rivals by 2 * RIVAL of their own moves, 0.75 together, so a round leaves
+    at most three quarters of a difference, and MOST_ROUNDS are never reached; if they
+    were, that is an error and not a result. Fewer ``rounds`` are for comparison only.
+    """
+    moved = None
+    for _ in range(rounds):
+        # what the other edges between the same two artists say, as the mean confidence around this edge
+        artists = scored.groupBy("left_artist", "right_artist").agg(F.sum("confidence").alias("all"), F.count("*").alias("n"))
+        rivals = scored.groupBy("right_id").agg(F.max("confidence").alias("top"))
+        around = F.when(F.col("n") > 1, (F.col("all") - F.col("confidence")) / (F.col("n") - 1)).otherwise(0.5)
+        proof = F.when(F.col("n") > 1, around * F.least(F.lit(1.0), (F.col("n") - 1) / 2)).otherwise(0.0)
+        own = F.col("base") + F.col("doubt") * proof + AROUND * (around - 0.5) * F.least(F.lit(1.0), (F.col("n") - 1) / 3)
+        after = own - RIVAL * (F.col("top") - F.col("confidence"))  # a better rival of the same row speaks against it
+        held = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.round(after, 6)))
+        step = scored.join(artists, ["left_artist", "right_artist"]).join(rivals, "right_id")
+        step = cut(step.select("left_id", "right_id", "left_artist", "right_artist", "weight", "base", "doubt", held.alias("confidence"), F.abs(held - F.col("confidence")).alias("moved")))
+        moved = step.agg(F.max("moved")).first()[0]
+        release(scored)
+        scored = step
+        if moved is None or moved < SETTLED:
+            return scored.drop("moved")
+    if rounds == MOST_ROUNDS:
+        raise RuntimeError(f"the confidences did not settle in {rounds} rounds: one still moves by {moved}")
+    return scored.drop("moved")
+
+
+def link(left: DataFrame, right: DataFrame, least: float = 0.4, keep: float = 0.3, rounds: int = MOST_ROUNDS) -> tuple[DataFrame, DataFrame]:
+    """(matches: left_id, right_id, confidence; all scored edges between representatives of equal rows).
+
+    Both sides have (row_id, title, artist, album, duration_ms). Rows equal in all fields
+    but the id are compared once and share their matches. A row without a title or
+    artist in any reading matches nothing; missing albums and lengths are no evidence.
+    Versions (live, acoustic, remix, instrumental, demo) must agree. A right row keeps
+    its best left row and the left rows equal to that; a left row may have several right
+    rows. Of equally good left rows one is kept by a hash of its id.
+    """
+    fields = ["title", "artist", "album", "duration_ms"]
+
+    def copies(df: DataFrame) -> DataFrame:
+        """row_id, like: every id with the smallest id of equal rows."""
+        df = df.select("row_id", "title", "artist", "album", F.col("duration_ms").cast("double").alias("duration_ms")).where("row_id is not null").distinct()
+        first = df.groupBy(*fields).agg(F.min("row_id").alias("like"))
+        same = F.lit(True)
+        for c in fields:
+            same = same & F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}"))
+        return cut(df.alias("a").join(first.alias("b"), same).select("a.row_id", "b.like", *(f"a.{c}" for c in fields)))
+
+    left_rows, right_rows = copies(left), copies(right)
+    read = lambda df, side: cut(df.select(F.col("like").alias("row_id"), *fields).distinct().mapInPandas(_reader(side), READING))
+    lefts, rights = read(left_rows, "l"), read(right_rows, "r")
     keyed = lambda df, p: df.select(F.col("row_id").alias(f"{p}_id"), F.col("reading").alias(f"{p}_reading"), F.explode("keys").alias("key"))
     lk, rk = keyed(lefts, "left"), keyed(rights, "right")
     # rarity of an attribute: how many left rows have it, as a share of all
     rarity = lk.groupBy("key").agg(F.countDistinct("left_id").alias("n"))
     total = lefts.agg(F.countDistinct("row_id").alias("total"))  # one row
     shared = lk.join(rk, "key").join(rarity, "key").crossJoin(F.broadcast(total))
-    edges = cut(shared.groupBy("left_id", "right_id", "left_reading", "right_reading").agg(F.sum(F.log((F.col("total") + 1) / F.col("n"))).alias("weight")))
+    weight = F.sum(F.log((F.col("total") + 1) / F.col("n")))
+    edges = cut(shared.groupBy("left_id", "right_id", "left_reading", "right_reading").agg(weight.alias("weight"), (weight / (weight + F.log(F.max("total") + 1))).alias("rarity")))
     best_l = edges.groupBy("left_id").agg(F.max("weight").alias("top_l"))
     best_r = edges.groupBy("right_id").agg(F.max("weight").alias("top_r"))
-    edges = edges.join(best_l, "left_id").join(best_r, "right_id").where((F.col("weight") >= keep * F.col("top_l")) | (F.col("weight") >= keep * F.col("top_r")))
-    fields = ("artist", "title", "base", "artist_own", "title_own", "short", "seconds", "album")
-    l = lefts.select(F.col("row_id").alias("left_id"), F.col("reading").alias("left_reading"), *(F.col(c).alias(f"l_{c}") for c in fields))  # noqa: E741
-    r = rights.select(F.col("row_id").alias("right_id"), F.col("reading").alias("right_reading"), *(F.col(c).alias(f"r_{c}") for c in fields))
-    scored = edges.join(l, ["left_id", "left_reading"]).join(r, ["right_id", "right_reading"]).mapInPandas(_score, "left_id string, right_id string, left_artist string, right_artist string, weight double, base double")
-    scored = cut(scored.groupBy("left_id", "right_id").agg(F.max_by(F.struct("left_artist", "right_artist", "weight", "base"), F.struct("base", "weight", "left_artist", "right_artist")).alias("e")).select("left_id", "right_id", "e.*").withColumn("confidence", F.col("base")))
-    while True:  # a round moves two sets of confidences at most 0.7 times as far apart (and 1e-6 by rounding), so it ends
-        # what the other edges between the same two artists say, as the mean confidence around this edge
-        artists = scored.groupBy("left_artist", "right_artist").agg(F.sum("confidence").alias("all"), F.count("*").alias("n"))
-        rivals = scored.groupBy("right_id").agg(F.max("confidence").alias("top"))
-        around = F.when(F.col("n") > 1, (F.col("all") - F.col("confidence")) / (F.col("n") - 1)).otherwise(0.5)
-        own = F.col("base") + 0.1 * (around - 0.5) * F.least(F.lit(1.0), (F.col("n") - 1) / 3)
-        after = own - 0.3 * (F.col("top") - F.col("confidence"))  # a better rival of the same row speaks against it
-        held = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.round(after, 6)))
-        step = scored.join(artists, ["left_artist", "right_artist"]).join(rivals, "right_id")
-        step = cut(step.select("left_id", "right_id", "left_artist", "right_artist", "weight", "base", held.alias("confidence"), F.abs(held - F.col("confidence")).alias("moved")))
-        moved = step.agg(F.max("moved")).first()[0]
-        scored = step.drop("moved")
-        if moved is None or moved < 1e-5:
-            break
+    strong = edges.join(best_l, "left_id").join(best_r, "right_id").where((F.col("weight") >= keep * F.col("top_l")) | (F.col("weight") >= keep * F.col("top_r")))
+    names = ("artist", "title", "base", "artist_own", "title_own", "short", "seconds", "album")
+    l = lefts.select(F.col("row_id").alias("left_id"), F.col("reading").alias("left_reading"), *(F.col(c).alias(f"l_{c}") for c in names))  # noqa: E741
+    r = rights.select(F.col("row_id").alias("right_id"), F.col("reading").alias("right_reading"), *(F.col(c).alias(f"r_{c}") for c in names))
+    scored = strong.join(l, ["left_id", "left_reading"]).join(r, ["right_id", "right_reading"]).mapInPandas(_score, "left_id string, right_id string, left_artist string, right_artist string, weight double, base double, doubt double")
+    one = F.max_by(F.struct("left_artist", "right_artist", "weight", "base", "doubt"), F.struct("base", "weight", "left_artist", "right_artist")).alias("e")
+    scored = cut(scored.groupBy("left_id", "right_id").agg(one).select("left_id", "right_id", "e.*").withColumn("confidence", F.greatest(F.lit(0.0), F.col("base"))))
+    release(edges)
+    scored = refined(scored, rounds)
     best = scored.groupBy("right_id").agg(F.max_by(F.struct("left_id", "confidence"), F.struct("confidence", "base", "weight", F.xxhash64("left_id"))).alias("b"))
-    matches = best.select("b.left_id", "right_id", F.round("b.confidence", 4).alias("confidence")).where(F.col("confidence") >= least)
-    return matches, scored
+    matches = best.select(F.col("b.left_id").alias("l_like"), F.col("right_id").alias("r_like"), F.round("b.confidence", 4).alias("confidence")).where(F.col("confidence") >= least)
+    ids = lambda df, p: df.select(F.col("row_id").alias(f"{p}_id"), F.col("like").alias(f"{p[0]}_like")).distinct()
+    found = matches.join(ids(left_rows, "left"), "l_like").join(ids(right_rows, "right"), "r_like")
+    return found.groupBy("left_id", "right_id").agg(F.max("confidence").alias("confidence")), scored
 
 
 def same_recordings(indie: DataFrame, liked: DataFrame) -> DataFrame:

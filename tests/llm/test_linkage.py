@@ -74,6 +74,33 @@ def test_confidences_held_at_the_ends_of_the_scale_settle(spark, monkeypatch):
     assert moved[-1] < 1e-5
 
 
+AMBIGUOUS = ["Silver Orchard", "Velvet Harbor", "Paper Lantern", "Hollow Compass", "Quiet Engine"]
+
+
+def test_neighbours_decide_an_ambiguous_pair(spark):
+    """Two spellings of one artist and a length that speaks against it: alone no match, beside other songs of both spellings one."""
+    left = [(f"k{i}", t, "Xmarigoldband", None, 200_000 + 9000 * i) for i, t in enumerate(AMBIGUOUS)]
+    right = [(f"l{i}", t, "Marigoldbandx", None, 200_000 + 9000 * i + (8000 if i == 0 else 0)) for i, t in enumerate(AMBIGUOUS)]
+    match = lambda n, **kw: {(r.left_id, r.right_id) for r in L.link(frame(spark, left[:n]), frame(spark, right[:n]), **kw)[0].collect()}
+    assert match(1) == set()
+    assert match(5) == {(f"k{i}", f"l{i}") for i in range(5)}
+    assert match(5, rounds=0) == {(f"k{i}", f"l{i}") for i in range(1, 5)}
+
+
+def test_copies_on_either_side_lose_no_link(spark):
+    left = [("k1", *LEFT[0][1:]), ("k1b", *LEFT[0][1:]), LEFT[1]]
+    right = [(f"l{i}", *LEFT[0][1:]) for i in range(3)] + [("m", "Silver Orchard", "Rulraeng Pumgae", None, None)]
+    got = {(r.left_id, r.right_id) for r in L.link(frame(spark, left), frame(spark, right))[0].collect()}
+    assert got == {(a, b) for a in ("k1", "k1b") for b in ("l0", "l1", "l2", "m")}
+
+
+def test_whole_titles_share_no_key_of_cut_ones():
+    assert not L._starts("a", "silverorchard", "", False, "l") & L._starts("a", "silverlake", "", False, "r")
+    for sides in (("l", "r"), ("r", "l")):
+        assert L._starts("a", "silverorchard", "", False, sides[0]) & L._starts("a", "silveror", "", True, sides[1])
+        assert L._starts("a", "silverorch", "", True, sides[0]) & L._starts("a", "silver", "", True, sides[1])
+
+
 def test_links_of_nothing(spark):
     df = frame(spark, LEFT)
     assert L.link(df.limit(0), df)[0].count() == 0
