@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from cantus.functions.chords import CHORD_CLASSES, ZERO_MASKS, jaccard
 from cantus.operators.ordered import with_context
 from cantus.plans.registry import query
-from cantus.plans.storage import table
+from cantus.plans.storage import cut, table
 from cantus.sources import music
 
 INTERVAL_SQL = "step AS (SELECT song, note_id, onset_us, pitch, row_number() OVER w - 1 AS note_index, pitch - lag(pitch) OVER w AS interval, onset_us - lag(onset_us) OVER w AS gap_us FROM note WINDOW w AS (PARTITION BY song ORDER BY onset_us, note_id))"
@@ -91,19 +91,47 @@ def duration_quantiles(spark: SparkSession, d: str) -> DataFrame:
     return df.agg(q.alias("q"), F.sum("x").alias("s"), F.count("x").alias("n")).select(F.get("q", F.lit(0)).alias("p10"), F.get("q", F.lit(1)).alias("p50"), F.get("q", F.lit(2)).alias("p90"), (F.col("s") / F.col("n")).alias("mean"))
 
 
+FEW, PARTS = 10_000, 1_000
+
+
+def kth_smallest(values: DataFrame, column: str, k: int) -> float | None:
+    """The ``k``-th smallest value (from 1), by counting: the interval that holds it is cut into PARTS until it has at most FEW different values, which are counted one by one. Nothing is sorted in one task."""
+    x = F.col(column).cast("double")
+    df = values.where(x.isNotNull() & ~F.isnan(x)).select(x.alias("x"))
+    while True:
+        lo, hi = df.agg(F.min("x"), F.max("x")).first()
+        if lo is None:
+            return None
+        part = F.least(F.lit(PARTS - 1), F.floor((F.col("x") - lo) / max(hi - lo, 1e-300) * PARTS)).cast("int")
+        few = df.groupBy("x").agg(F.count("*").alias("n")).limit(FEW + 1).collect()  # at most FEW + 1 rows
+        if len(few) <= FEW:
+            for r in sorted(few):
+                k -= r.n
+                if k <= 0:
+                    return r.x
+            return hi
+        counts = sorted(df.groupBy(part.alias("part")).agg(F.count("*").alias("n")).collect())  # at most PARTS rows
+        for r in counts:
+            if k <= r.n:
+                df = df.where(part == r.part)
+                break
+            k -= r.n
+        else:
+            return hi
+
+
 def quartile_exclusive(values: DataFrame, column: str) -> DataFrame:
-    """Lower quartile by the exclusive method, from the counts of distinct values (one row)."""
-    pos = f"((sum(c) over () + 1) / 4.0)"  # noqa: F541
-    counts = values.groupBy(column).agg(F.count("*").alias("c"))
-    ranked = counts.selectExpr(column, "c", f"sum(c) over (order by {column}) as upto", f"{pos} as pos", "sum(c) over () as n")
-    at = lambda k: f"min(case when upto >= least(n, greatest(1, {k})) then {column} end)"
-    return ranked.groupBy().agg(F.expr(at("floor(pos)")).alias("a"), F.expr(at("floor(pos) + 1")).alias("b"), F.first("pos").alias("pos")).select((F.col("a") + (F.col("b") - F.col("a")) * (F.col("pos") - F.floor("pos"))).alias("p25"))
+    """Lower quartile by the exclusive method (one row)."""
+    n = values.where(F.col(column).isNotNull()).count()
+    at = min(max((n + 1) / 4, 1.0), float(max(n, 1)))
+    a, b = kth_smallest(values, column, int(at)), kth_smallest(values, column, min(int(at) + 1, max(n, 1)))
+    return values.sparkSession.createDataFrame([(None if a is None else a + (b - a) * (at - int(at)),)], "p25 double")
 
 
 @query("""SELECT round(a + (b - a) * (pos - floor(pos)), 6) AS p25 FROM (SELECT list_extract(l, CAST(greatest(1, floor((len(l) + 1) / 4)) AS BIGINT)) AS a, list_extract(l, CAST(least(len(l), floor((len(l) + 1) / 4) + 1) AS BIGINT)) AS b, (len(l) + 1) / 4 AS pos FROM (SELECT list(entropy ORDER BY entropy) AS l FROM entropy))""", ("note",), (INTERVAL_SQL, ENTROPY_SQL))
 def entropy_quartile(spark: SparkSession, d: str) -> DataFrame:
     """Exclusive lower quartile of the songs' entropies: below it a song is of low complexity."""
-    return quartile_exclusive(entropies(spark, d), "entropy").select(F.round("p25", 6).alias("p25"))
+    return quartile_exclusive(cut(entropies(spark, d)), "entropy").select(F.round("p25", 6).alias("p25"))
 
 
 @query("""SELECT round(sum(a.n * b.n * (bit_count(za.m & zb.m) / bit_count(za.m | zb.m))) / sum(a.n * b.n), 6) AS mean_jaccard FROM freq a, freq b, zm za, zm zb WHERE za.cls = a.cls AND zb.cls = b.cls""", ("seg",),

@@ -233,3 +233,79 @@ def test_lines_and_fields_of_every_source(spark):
     sources = {r.source for r in spark.read.parquet(f"{d}/documents.parquet").where("text rlike '[a-z] [a-z]'").select("source").distinct().collect()}
     for name in ("manifest_lines_by_source", "log_fields_by_source"):
         assert {r.source for r in QUERIES[name](spark, d).select("source").distinct().collect()} >= sources and len(sources) > 1
+
+
+def test_as_of_repeats_no_interval(spark):
+    """One interval of 10^12 microseconds among many: nothing is repeated over the blocks it spans, and the last start still wins."""
+    from cantus.operators.ordered import interval_as_of
+
+    segs = [("a", i * 50_000_000, i * 50_000_000 + 30_000_000, i) for i in range(1, 200)] + [("a", 0, 10**12, 0), ("b", 0, 10**12, 7), ("c", 5, None, 1)]
+    notes = [("a", i, t) for i, t in enumerate(range(0, 12_000_000_000, 35_000_001))] + [("b", 0, 10**12 - 1), ("b", 1, 10**12), ("c", 0, 6), ("d", 0, 1)]
+    s = spark.createDataFrame(segs, "song string, start_us bigint, end_us bigint, mask int")
+    n = spark.createDataFrame(notes, "song string, note_id int, onset_us bigint")
+    got = {(r.song, r.note_id): r.mask for r in interval_as_of(n, s, ["mask"]).collect()}
+    for song, k, t in notes:
+        last = max(((a, b, m) for g, a, b, m in segs if g == song and a <= t and b is not None), default=None)
+        assert got[song, k] == (last[2] if last and t < last[1] else None)
+
+
+def test_reconciliation_finds_each_planted_problem(spark):
+    from cantus.operators import correction as op
+
+    merged = spark.createDataFrame([("a", i, i * 1000, 60, 0b000010010001) for i in range(6)], "song string, id int, onset_us bigint, pitch int, mask int")
+    after = [60, 64, 64, 61, 60, 64]
+    corrected = spark.createDataFrame([("a", i, i * 1000, p) for i, p in enumerate(after)], "song string, id int, onset_us bigint, pitch int")
+    log = spark.createDataFrame([("a", 1000 + 90, 60, 64), ("a", 2000, 60, 67), ("a", 3000, 60, 61), ("a", 4000, 60, 64), ("b", 0, 60, 61)], "song string, onset_us bigint, original_pitch int, corrected_pitch int")
+    got = {(r.note_id, r.problem) for r in op.reconcile(merged, corrected, log).collect()}
+    assert got == {(2, "entry with another pitch"), (3, "corrected outside the chord"), (4, "entry without a change"), (5, "changed without an entry")}
+    short = op.reconcile(merged, corrected.where("id < 5"), log.limit(0))
+    assert {r.problem for r in short.where("place = 5").collect()} == {"no partner"}
+
+
+def test_last_log_entry_wins_and_statuses(spark):
+    from cantus.operators import correction as op
+
+    log = spark.createDataFrame([("a", 5, 64, 60, 1), ("a", 5, 64, 62, 2), ("a", 5, 65, 61, 1)], "song string, onset_us bigint, corrected_pitch int, original_pitch int, place int")
+    assert {(r.corrected_pitch, r.original_pitch) for r in op.last_entries(log).collect()} == {(64, 62), (65, 61)}
+    names = lambda *x: spark.createDataFrame([(i,) for i in x], "song string")
+    assert {tuple(r) for r in op.song_status(names("a", "b", "c", "a"), names("a"), names("a", "b", "x")).collect()} == {("a", "ok"), ("b", "failed"), ("c", "not_processed")}
+
+
+def test_kth_smallest_by_counting(spark, monkeypatch):
+    import random
+
+    from cantus.plans import sequences
+
+    monkeypatch.setattr(sequences, "FEW", 5)
+    monkeypatch.setattr(sequences, "PARTS", 4)
+    rng = random.Random(4)
+    values = [rng.choice([0.5, 0.5, rng.random(), -rng.random() * 100]) for _ in range(200)]
+    df = spark.createDataFrame([(v,) for v in values] + [(None,)], "x double")
+    for k in (1, 50, 200):
+        assert sequences.kth_smallest(df, "x", k) == sorted(values)[k - 1]
+    assert sequences.kth_smallest(df.limit(0), "x", 1) is None
+
+
+def test_a_bad_sequence_fails_only_its_pairs(spark):
+    from cantus.operators import alignment as op
+
+    df = spark.createDataFrame([("a", [0, 1, 2]), ("b", [-5, 3]), ("c", [0, 1, 2])], "song string, symbols array<int>")
+    rows = {(r.song_a, r.song_b): r for r in op.all_pairs(df, "chord").collect()}
+    assert rows["a", "c"].error is None and rows["a", "c"].score > 0
+    assert rows["b", "c"].error and rows["b", "c"].score == -1
+
+
+def test_long_local_alignment_needs_little_memory():
+    import tracemalloc
+
+    import numpy as np
+
+    from cantus.operators.alignment import local_alignment
+
+    rng = np.random.default_rng(2)
+    a = rng.integers(-12, 13, 3000)
+    tracemalloc.start()
+    score, pairs = local_alignment("note", a, a)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(pairs) == 3000 and all(i == j for i, j in pairs) and peak < 20_000_000
