@@ -4,8 +4,11 @@ Sequence decision diagrams. Every song becomes a node of one shared acyclic grap
 whose paths are the patterns the song supports; equal sub-diagrams exist once (unique
 table) and unions are memoised. The database is then a weighted set of roots: songs
 with the same diagram are one root with a weight. Counting pushes conditional
-diagrams per prefix item; roots that fall together below a prefix are merged, so
-identical subproblems are solved once.
+diagrams per prefix item; roots that fall together below a prefix are merged, and a
+conditional database that occurs below several prefixes is counted once. A position's
+diagrams follow from its item and the diagrams just behind it, so equal surroundings
+are built once too. Classes that too few songs have can be in no frequent pattern and
+take a place only.
 
 A song of any size is spread over range-sorted chunks. A chunk counts the songs that
 lie wholly inside it. Songs cut by a boundary give their patterns as rows, and the
@@ -42,6 +45,7 @@ class Diagrams:
         self.nodes: list[tuple] = [(), ()]
         self.ids: dict[tuple, int] = {}
         self.joined: dict[tuple[int, int], int] = {}
+        self.begun: dict[tuple, tuple] = {}
 
     def node(self, edges: tuple) -> int:
         if not edges:
@@ -68,33 +72,45 @@ class Diagrams:
 
     def song(self, items: list) -> int:
         """The diagram of all patterns of a sequence (None: a place that is no step)."""
-        root, near = EMPTY, []  # near: by position, nearest first, the diagrams of 1..length-1 steps that start there
+        root, near = EMPTY, ()  # near: by position, nearest first, the diagrams of 1..length-1 steps that start there
+        nothing = (EMPTY,) * self.length
         for item in reversed(items):
-            starts = [EMPTY] * self.length
+            starts = nothing
             if item is not None:
-                starts[0] = self.node(((item, DONE),))
-                for k in range(1, self.length):
-                    rest = EMPTY
-                    for later in near:
-                        rest = self.union(rest, later[k - 1])
-                    if not rest:
-                        break
-                    starts[k] = self.node(((item, rest),))
+                starts = self.begun.get((item, near))
+                if starts is None:
+                    new = [EMPTY] * self.length
+                    new[0] = self.node(((item, DONE),))
+                    for k in range(1, self.length):
+                        rest = EMPTY
+                        for later in near:
+                            rest = self.union(rest, later[k - 1])
+                        if not rest:
+                            break
+                        new[k] = self.node(((item, rest),))
+                    starts = self.begun[item, near] = tuple(new)
                 root = self.union(root, starts[-1])
-            near = [starts, *near[: self.between]]
+            near = (starts, *near[: self.between])
         return root
 
-    def supports(self, roots: Counter, prefix: tuple = ()) -> Iterator[tuple[tuple, int]]:
+    def supports(self, roots: Counter) -> Iterator[tuple[tuple, int]]:
         """Patterns below a weighted set of diagrams, each with its weight."""
-        below: dict = {}
-        for root, weight in roots.items():
-            for item, child in self.nodes[root]:
-                below.setdefault(item, Counter())[child] += weight
-        for item, conditional in below.items():
-            if len(prefix) + 1 == self.length:
-                yield (*prefix, item), sum(conditional.values())
+        yield from self._below(frozenset(roots.items()), self.length, {})
+
+    def _below(self, roots: frozenset, left: int, known: dict) -> list[tuple[tuple, int]]:
+        """The patterns of ``left`` steps of a conditional database, each database counted once."""
+        found = known.get((roots, left))
+        if found is None:
+            below: dict = {}
+            for root, weight in roots:
+                for item, child in self.nodes[root]:
+                    below.setdefault(item, Counter())[child] += weight
+            if left == 1:
+                found = [((item,), sum(c.values())) for item, c in below.items()]
             else:
-                yield from self.supports(conditional, (*prefix, item))
+                found = [((item, *rest), n) for item, c in below.items() for rest, n in self._below(frozenset(c.items()), left - 1, known)]
+            known[roots, left] = found
+        return found
 
 
 def _mine(length: int, between: int):
@@ -199,9 +215,14 @@ def frequent_patterns(segments: DataFrame, length: int = 4, between: int = 2, sh
     pattern. Ties in start_sec are ordered by segment_index. Songs without any class
     count as songs. An empty input gives no rows. Item names must not contain ``>``.
     """
-    mined = cut(in_order(segments.select("song", "start_sec", "segment_index", "class_name")).mapInPandas(_mine(length, between), SCHEMA))
+    segments = cut(segments.select("song", "start_sec", "segment_index", "class_name"))  # read three times
+    songs = segments.agg(F.countDistinct("song").alias("songs"))  # one row
+    # a class that too few songs have is in no frequent pattern; at most share[1] / share[0] classes a song stay on average
+    common = segments.where("class_name is not null").groupBy("class_name", "song").agg(F.lit(1)).groupBy("class_name").agg(F.count("*").alias("n"))
+    common = common.crossJoin(F.broadcast(songs)).where(F.col("n") * share[1] >= F.col("songs") * share[0]).select("class_name", F.col("class_name").alias("kept"))
+    steps = segments.select("song", "start_sec", "segment_index", "class_name").join(common, "class_name", "left").select("song", "start_sec", "segment_index", F.col("kept").alias("class_name"))
+    mined = cut(in_order(steps).mapInPandas(_mine(length, between), SCHEMA))
     edges = mined.where("kind = 'edge'").groupBy("song").applyInPandas(_across(length, between), "song string, pattern string")
     cut_songs = mined.where("kind = 'song'").select("song", "pattern").union(edges).distinct().groupBy("pattern").agg(F.count("*").alias("n"))
     supports = mined.where("kind = 'count'").select("pattern", "n").union(cut_songs).groupBy("pattern").agg(F.sum("n").alias("support"))
-    songs = segments.agg(F.countDistinct("song").alias("songs"))  # one row
     return supports.crossJoin(F.broadcast(songs)).where(F.col("support") * share[1] >= F.col("songs") * share[0]).select("pattern", "support", "songs")
