@@ -309,3 +309,27 @@ def test_long_local_alignment_needs_little_memory():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert len(pairs) == 3000 and all(i == j for i, j in pairs) and peak < 20_000_000
+
+
+def test_end_to_end_traceback_scores_what_it_says():
+    import numpy as np
+
+    from cantus.operators import alignment as op
+
+    rng = np.random.default_rng(3)
+    for _ in range(20):
+        a, b = rng.integers(-4, 5, rng.integers(0, 12)), rng.integers(-4, 5, rng.integers(0, 12))
+        score, pairs = op.global_alignment("note", a, b)
+        assert score == op.global_score("note", a, b)
+        assert [i for i, _ in pairs if i is not None] == list(range(len(a))) and [j for _, j in pairs if j is not None] == list(range(len(b)))
+        assert score == sum(op.GAP_UNITS if i is None or j is None else int(op.scores("note", int(a[i]), b[j : j + 1])[0]) for i, j in pairs)
+
+
+def test_sample_sweep_names_missing_songs(spark):
+    from cantus.operators import alignment as op
+
+    df = spark.createDataFrame([("a", [0, 2, -2, 5, 0, 2]), ("b", [0, 2, -2, 5, 1]), ("c", [7, 7, 7])], "song string, symbols array<int>")
+    rows = {(r.song_a, r.song_b, r.gap): r for r in op.sample_sweep(df, [("a", "b", "x"), ("a", "c", "y")], [-1.5, -2.0], "note", 3).collect()}
+    assert len(rows) == 4 and rows["a", "b", -2.0].score == 9.523 and rows["a", "b", -2.0].exact_share == 0.8  # four equal intervals and one a semitone off
+    with pytest.raises(ValueError, match="zz"):
+        op.sample_sweep(df, [("a", "zz", "x")], [-2.0], "note")

@@ -93,3 +93,55 @@ def test_streamed_notes(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert [(r.n_notes, r.n_outside) for r in spark.table("tagged").collect()] == [(3, 1)]
+
+
+def test_analyses_as_rows(spark, tmp_path):
+    import json
+
+    from cantus.sources import analysis as A
+
+    section = dict(start=0.0, duration=2.5, tempo=120.0, key=4, mode=1, loudness=-5.0, time_signature=4, key_confidence=0.5)
+    segment = dict(start=0.0, duration=0.2, pitches=[0.1] * 12, timbre=[1.0] * 12, loudness_start=-20.0, loudness_max=-3.0)
+    df = spark.createDataFrame([("t1", json.dumps({"sections": [section, section], "segments": [segment]})), ("t2", "{}"), ("t3", "no json"), ("t4", None)], "track_id string, analysis string")
+    got = A.sections(df).collect()
+    assert [(r.track_id, r.place, r.key, r.tempo_confidence, r.key_confidence) for r in got] == [("t1", 0, 4, None, 0.5), ("t1", 1, 4, None, 0.5)]
+    assert [(r.track_id, len(r.pitches), len(r.timbre)) for r in A.segment_pitches(df).collect()] == [("t1", 12, 12)]
+    songs = spark.createDataFrame([("t1", "x", "y", 5), ("t9", "z", None, None)], "track_id string, title string, artist string, duration_ms bigint")
+    asked = []
+
+    def fetch(ids):
+        if "t9" in ids:
+            raise OSError("no service")
+        return [json.dumps({"tempo": 99.5, "key": 3}) for _ in ids]
+
+    found = A.feature_batches(songs.where("track_id = 't1'"), fetch).unionByName(A.feature_batches(songs.where("track_id = 't9'"), fetch))
+    assert {(r.track_id, r.error) for r in found.collect()} == {("t1", None), ("t9", "OSError: no service")}
+    summary = A.track_summary(songs, found)
+    assert len(summary.columns) == 14 and {(r.track_id, r.tempo, r.key, r.energy) for r in summary.collect()} == {("t1", 99.5, 3, None), ("t9", None, None, None)}
+    A.write_json(summary, str(tmp_path / "out"))
+    assert spark.read.json(str(tmp_path / "out")).count() == 2 and not asked
+    files = spark.createDataFrame([("/a/x.MP3",), ("/a/y.txt",), ("/a/z.flac",), ("/a/wav",)], "path string")
+    assert sorted(r.path for r in A.audio_files(files).collect()) == ["/a/x.MP3", "/a/z.flac"]
+
+
+def test_jobs_resume_retry_and_append(spark, tmp_path):
+    from cantus.sources import jobs as J
+
+    names = lambda *x: spark.createDataFrame([(i,) for i in x], "song string")
+    log = str(tmp_path / "failures")
+    assert J.read_failures(spark, log).count() == 0
+    results = spark.createDataFrame([("a", 1, None), ("b", None, "broken")], "song string, n int, error string")
+    assert [tuple(r) for r in J.log_failures(results, "tag", log).collect()] == [("a", 1)]
+    assert [r.song for r in J.read_failures(spark, log).collect()] == ["b"]
+    left = lambda **kw: [r.song for r in J.pending(names("d", "c", "b", "a"), names("a"), failed=J.read_failures(spark, log), **kw).collect()]
+    assert left() == ["c", "d"] and left(retry_failed=True) == ["b", "c", "d"] and left(limit=1) == ["c"]
+    J.clear_failures(spark, log, "tag")
+    assert left() == ["b", "c", "d"]
+    J.scaffold(spark, str(tmp_path / "gt"), "onset double, label string")
+    J.scaffold(spark, str(tmp_path / "gt"), "other int")
+    df = spark.createDataFrame([("a", 0.123456, 2.0)], "song string, rate double, mean double")
+    assert [tuple(r) for r in J.formatted(df, ["rate"], ["mean"]).collect()] == [("a", "0.1235", "2.00")]
+    out = str(tmp_path / "parts")
+    J.write_in_parts(df, out, "song")
+    J.write_in_parts(df.unionByName(df.withColumn("song", J.F.lit("b"))), out, "song", spark.read.parquet(out))
+    assert sorted(r.song for r in spark.read.parquet(out).collect()) == ["a", "b"]
