@@ -87,31 +87,16 @@ def playlist_ids(spark: SparkSession, d: str) -> DataFrame:
     return df.select("track_id", F.coalesce(F.nullif(F.regexp_extract("link", r"playlist/([a-zA-Z0-9]+)", 1), F.lit("")), F.trim("link")).alias("playlist"))
 
 
-@query("SELECT line, count(*) AS n FROM (SELECT trim(unnest(string_split(text, chr(10))), ' ' || chr(13) || chr(9)) AS line FROM documents WHERE source = 'annotator_notes') WHERE line <> '' AND NOT starts_with(line, '#') GROUP BY line")
-def manifest_lines(spark: SparkSession, d: str) -> DataFrame:
-    """Lines of text manifests, without blanks and comments."""
-    line = F.explode(F.split("text", "\n"))
-    df = table(spark, d, "documents").where("source = 'annotator_notes'").select(line.alias("l")).select(F.trim(F.col("l"), F.lit(" \r\t")).alias("line"))
-    return df.where("line <> '' and not startswith(line, '#')").groupBy("line").agg(F.count("*").alias("n"))
-
-
-@query("SELECT DISTINCT split_part(line, ' ', 2) AS field FROM (SELECT unnest(string_split(text, chr(10))) AS line FROM documents WHERE source = 'run_reports') WHERE len(string_split(line, ' ')) >= 2")
-def log_fields(spark: SparkSession, d: str) -> DataFrame:
-    """The distinct second fields of log lines that have at least two."""
-    df = table(spark, d, "documents").where("source = 'run_reports'").select(F.explode(F.split("text", "\n")).alias("line")).select(F.split("line", " ").alias("f"))
-    return df.where(F.size("f") >= 2).select(F.get("f", F.lit(1)).alias("field")).distinct()
-
-
 @query("SELECT source, line, count(*) AS n FROM (SELECT source, trim(unnest(string_split(text, chr(10))), ' ' || chr(13) || chr(9)) AS line FROM documents) WHERE line <> '' AND NOT starts_with(line, '#') GROUP BY ALL")
-def manifest_lines_by_source(spark: SparkSession, d: str) -> DataFrame:
-    """``manifest_lines`` of the documents of every source."""
+def manifest_lines(spark: SparkSession, d: str) -> DataFrame:
+    """Lines of text manifests by source, without blanks and comments."""
     df = table(spark, d, "documents").select("source", F.explode(F.split("text", "\n")).alias("l")).select("source", F.trim(F.col("l"), F.lit(" \r\t")).alias("line"))
     return df.where("line <> '' and not startswith(line, '#')").groupBy("source", "line").agg(F.count("*").alias("n"))
 
 
 @query("SELECT DISTINCT source, split_part(line, ' ', 2) AS field FROM (SELECT source, unnest(string_split(text, chr(10))) AS line FROM documents) WHERE len(string_split(line, ' ')) >= 2")
-def log_fields_by_source(spark: SparkSession, d: str) -> DataFrame:
-    """``log_fields`` of the documents of every source."""
+def log_fields(spark: SparkSession, d: str) -> DataFrame:
+    """The distinct second fields, by source, of lines that have at least two; the fields of the test logs are parted by spaces."""
     df = table(spark, d, "documents").select("source", F.explode(F.split("text", "\n")).alias("line")).select("source", F.split("line", " ").alias("f"))
     return df.where(F.size("f") >= 2).select("source", F.get("f", F.lit(1)).alias("field")).distinct()
 

@@ -91,10 +91,12 @@ def anchor_songs(spark: SparkSession, d: str) -> DataFrame:
     return df.agg(F.min_by("song", key).alias("highest"), F.max_by("song", key).alias("lowest"), F.count("*").alias("songs")).withColumn("few", F.col("songs") < 10)
 
 
-@query("""SELECT song, written, CASE WHEN contains(written, ':') THEN CAST(split_part(written, ':', 1) AS DOUBLE) * 60 + CAST(split_part(written, ':', 2) AS DOUBLE) ELSE CAST(written AS DOUBLE) END AS seconds FROM (SELECT song, CASE WHEN start_us >= 60000000 THEN CAST(start_us // 60000000 AS VARCHAR) || ':' || CAST(start_us // 1000000 % 60 AS VARCHAR) ELSE CAST(start_us // 1000000 AS VARCHAR) END AS written FROM seg)""", ("seg",))
+@query("""SELECT song, written, CASE WHEN contains(written, ':') THEN CAST(split_part(written, ':', 1) AS DOUBLE) * 60 + CAST(split_part(written, ':', 2) AS DOUBLE) ELSE CAST(written AS DOUBLE) END AS seconds FROM
+(SELECT song, CASE WHEN start_us >= 60000000 THEN CAST(start_us // 60000000 AS VARCHAR) || ':' || lpad(CAST(start_us // 1000000 % 60 AS VARCHAR), 2, '0') ELSE CAST(start_us // 1000000 AS VARCHAR) END || '.' || lpad(CAST(start_us // 1000 % 1000 AS VARCHAR), 3, '0') AS written FROM seg)""", ("seg",))
 def parse_times(spark: SparkSession, d: str) -> DataFrame:
-    """Segment starts written as seconds or minutes and seconds, and read again."""
-    written = F.when(F.col("start_us") >= 60_000_000, F.concat(F.expr("start_us div 60000000").cast("string"), F.lit(":"), F.expr("start_us div 1000000 % 60").cast("string"))).otherwise(F.expr("start_us div 1000000").cast("string"))
+    """Segment starts written as seconds or minutes and seconds, to the millisecond, and read again."""
+    whole = F.when(F.col("start_us") >= 60_000_000, F.concat(F.expr("start_us div 60000000").cast("string"), F.lit(":"), F.lpad(F.expr("start_us div 1000000 % 60").cast("string"), 2, "0"))).otherwise(F.expr("start_us div 1000000").cast("string"))
+    written = F.concat(whole, F.lit("."), F.lpad(F.expr("start_us div 1000 % 1000").cast("string"), 3, "0"))
     return music.segments(spark, d).select("song", written.alias("written")).select("song", "written", time_of(F.col("written")).alias("seconds"))
 
 

@@ -231,7 +231,7 @@ def test_lines_and_fields_of_every_source(spark):
 
     d = "/root/testdata/sf0.001"
     sources = {r.source for r in spark.read.parquet(f"{d}/documents.parquet").where("text rlike '[a-z] [a-z]'").select("source").distinct().collect()}
-    for name in ("manifest_lines_by_source", "log_fields_by_source"):
+    for name in ("manifest_lines", "log_fields"):
         assert {r.source for r in QUERIES[name](spark, d).select("source").distinct().collect()} >= sources and len(sources) > 1
 
 
