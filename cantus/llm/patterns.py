@@ -217,8 +217,8 @@ def frequent_patterns(segments: DataFrame, length: int = 4, between: int = 2, sh
     """
     segments = cut(segments.select("song", "start_sec", "segment_index", "class_name"))  # read three times
     songs = segments.agg(F.countDistinct("song").alias("songs"))  # one row
-    # a class that too few songs have is in no frequent pattern; at most share[1] / share[0] classes a song stay on average
-    common = segments.where("class_name is not null").groupBy("class_name", "song").agg(F.lit(1)).groupBy("class_name").agg(F.count("*").alias("n"))
+    # no more songs have a class than there are segments of it; at most share[1] / share[0] times the mean length of a song classes stay
+    common = segments.where("class_name is not null").groupBy("class_name").agg(F.count("*").alias("n"))
     common = common.crossJoin(F.broadcast(songs)).where(F.col("n") * share[1] >= F.col("songs") * share[0]).select("class_name", F.col("class_name").alias("kept"))
     steps = segments.select("song", "start_sec", "segment_index", "class_name").join(common, "class_name", "left").select("song", "start_sec", "segment_index", F.col("kept").alias("class_name"))
     mined = cut(in_order(steps).mapInPandas(_mine(length, between), SCHEMA))
