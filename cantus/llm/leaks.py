@@ -34,8 +34,8 @@ BAND = 128
 SLACK = 24  # diagonals around those of a band's q-grams that the alignment may use
 PAD = 40  # characters before the first and behind the last of a band's q-grams
 BLOCK_CHARS = 2_000_000  # of item text in one block's index, about 16 bytes each
-CHUNK_CHARS = 2_000_000  # of document text in one array
-CELLS = 6_000_000  # of alignment tables held at once
+CHUNK_CHARS = 800_000  # of document text in one array
+CELLS = 4_000_000  # of alignment tables held at once
 FILTER_BITS = 22
 NOTHING = 0xFFFFFFFF
 SENTENCE = re.compile(r"(?<=[.!?。！？])\s+")
