@@ -58,7 +58,7 @@ def test_as_of_takes_the_last_start_even_if_it_has_ended(spark):
 
 def test_densest_window_with_equal_onsets(spark):
     df = spark.createDataFrame([("a", t) for t in (0, 0, 5, 10, 11, 30, 31, 32, 40)], "song string, onset_us long")
-    assert [tuple(r) for r in densest_windows(df, 10).collect()] == [("a", 0, 4)]
+    assert [tuple(r) for r in densest_windows(df, 10).collect()] == [("a", 0, 10, 4)]
 
 
 def reference_pass(notes):
