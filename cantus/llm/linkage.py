@@ -207,6 +207,11 @@ def _score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(out, columns=["left_id", "right_id", "left_artist", "right_artist", "weight", "base", "doubt"])
 
 
+def joined(a: DataFrame, b: DataFrame, on) -> DataFrame:
+    """Join of two tables that grow with the input: never broadcast, whatever their files are estimated at (they compress tenfold, and a broadcast passes through the driver)."""
+    return a.join(b.hint("merge"), on)
+
+
 RARITY, AROUND, RIVAL = 0.2, 0.1, 0.2
 SETTLED, MOST_ROUNDS = 1e-5, 200
 
@@ -229,7 +234,7 @@ def refined(scored: DataFrame, rounds: int = MOST_ROUNDS) -> DataFrame:
         own = F.col("base") + F.col("doubt") * proof + AROUND * (around - 0.5) * F.least(F.lit(1.0), (F.col("n") - 1) / 3)
         after = own - RIVAL * (F.col("top") - F.col("confidence"))  # a better rival of the same row speaks against it
         held = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.round(after, 6)))
-        step = scored.join(artists, ["left_artist", "right_artist"]).join(rivals, "right_id")
+        step = joined(joined(scored, artists, ["left_artist", "right_artist"]), rivals, "right_id")
         step = cut(step.select("left_id", "right_id", "left_artist", "right_artist", "weight", "base", "doubt", held.alias("confidence"), F.abs(held - F.col("confidence")).alias("moved")))
         moved = step.agg(F.max("moved")).first()[0]
         release(scored)
@@ -260,7 +265,7 @@ def link(left: DataFrame, right: DataFrame, least: float = 0.4, keep: float = 0.
         same = F.lit(True)
         for c in fields:
             same = same & F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}"))
-        return cut(df.alias("a").join(first.alias("b"), same).select("a.row_id", "b.like", *(f"a.{c}" for c in fields)))
+        return cut(joined(df.alias("a"), first.alias("b"), same).select("a.row_id", "b.like", *(f"a.{c}" for c in fields)))
 
     left_rows, right_rows = copies(left), copies(right)
     read = lambda df, side: cut(df.select(F.col("like").alias("row_id"), *fields).distinct().mapInPandas(_reader(side), READING))
@@ -270,16 +275,16 @@ def link(left: DataFrame, right: DataFrame, least: float = 0.4, keep: float = 0.
     # rarity of an attribute: how many left rows have it, as a share of all
     rarity = lk.groupBy("key").agg(F.countDistinct("left_id").alias("n"))
     total = lefts.agg(F.countDistinct("row_id").alias("total"))  # one row
-    shared = lk.join(rk, "key").join(rarity, "key").crossJoin(F.broadcast(total))
+    shared = joined(joined(lk, rk, "key"), rarity, "key").crossJoin(F.broadcast(total))
     weight = F.sum(F.log((F.col("total") + 1) / F.col("n")))
     edges = cut(shared.groupBy("left_id", "right_id", "left_reading", "right_reading").agg(weight.alias("weight"), (weight / (weight + F.log(F.max("total") + 1))).alias("rarity")))
     best_l = edges.groupBy("left_id").agg(F.max("weight").alias("top_l"))
     best_r = edges.groupBy("right_id").agg(F.max("weight").alias("top_r"))
-    strong = edges.join(best_l, "left_id").join(best_r, "right_id").where((F.col("weight") >= keep * F.col("top_l")) | (F.col("weight") >= keep * F.col("top_r")))
+    strong = joined(joined(edges, best_l, "left_id"), best_r, "right_id").where((F.col("weight") >= keep * F.col("top_l")) | (F.col("weight") >= keep * F.col("top_r")))
     names = ("artist", "title", "base", "artist_own", "title_own", "short", "seconds", "album")
     l = lefts.select(F.col("row_id").alias("left_id"), F.col("reading").alias("left_reading"), *(F.col(c).alias(f"l_{c}") for c in names))  # noqa: E741
     r = rights.select(F.col("row_id").alias("right_id"), F.col("reading").alias("right_reading"), *(F.col(c).alias(f"r_{c}") for c in names))
-    scored = strong.join(l, ["left_id", "left_reading"]).join(r, ["right_id", "right_reading"]).mapInPandas(_score, "left_id string, right_id string, left_artist string, right_artist string, weight double, base double, doubt double")
+    scored = joined(joined(strong, l, ["left_id", "left_reading"]), r, ["right_id", "right_reading"]).mapInPandas(_score, "left_id string, right_id string, left_artist string, right_artist string, weight double, base double, doubt double")
     one = F.max_by(F.struct("left_artist", "right_artist", "weight", "base", "doubt"), F.struct("base", "weight", "left_artist", "right_artist")).alias("e")
     scored = cut(scored.groupBy("left_id", "right_id").agg(one).select("left_id", "right_id", "e.*").withColumn("confidence", F.greatest(F.lit(0.0), F.col("base"))))
     release(edges)
@@ -287,7 +292,7 @@ def link(left: DataFrame, right: DataFrame, least: float = 0.4, keep: float = 0.
     best = scored.groupBy("right_id").agg(F.max_by(F.struct("left_id", "confidence"), F.struct("confidence", "base", "weight", F.xxhash64("left_id"))).alias("b"))
     matches = best.select(F.col("b.left_id").alias("l_like"), F.col("right_id").alias("r_like"), F.round("b.confidence", 4).alias("confidence")).where(F.col("confidence") >= least)
     ids = lambda df, p: df.select(F.col("row_id").alias(f"{p}_id"), F.col("like").alias(f"{p[0]}_like")).distinct()
-    found = matches.join(ids(left_rows, "left"), "l_like").join(ids(right_rows, "right"), "r_like")
+    found = joined(joined(matches, ids(left_rows, "left"), "l_like"), ids(right_rows, "right"), "r_like")
     return found.groupBy("left_id", "right_id").agg(F.max("confidence").alias("confidence")), scored
 
 

@@ -116,3 +116,18 @@ def test_names():
     assert L.undress("Kite (Electric Compass) (Demo)") == ("Kite (Electric Compass)", "demo")
     assert L.undress("먼 기차 - Acoustic Ver.") == ("먼 기차", "acoustic")
     assert L.seconds(245) == 245 and L.seconds(245_000) == 245 and L.seconds(None) is None and L.seconds(-1) is None
+
+
+def test_tables_that_grow_are_never_broadcast(spark, monkeypatch):
+    plans, write = [], L.cut
+
+    def seen(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return write(df)
+
+    monkeypatch.setattr(L, "cut", seen)
+    matches, _ = L.link(frame(spark, LEFT), frame(spark, LEFT))
+    plans.append(matches._jdf.queryExecution().executedPlan().toString())
+    assert int(spark.conf.get("spark.sql.autoBroadcastJoinThreshold").rstrip("b")) > 0
+    assert not [p for p in plans if "BroadcastHashJoin" in p]
+    assert sum("SortMergeJoin" in p for p in plans) >= 6
