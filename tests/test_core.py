@@ -333,3 +333,29 @@ def test_sample_sweep_names_missing_songs(spark):
     assert len(rows) == 4 and rows["a", "b", -2.0].score == 9.523 and rows["a", "b", -2.0].exact_share == 0.8  # four equal intervals and one a semitone off
     with pytest.raises(ValueError, match="zz"):
         op.sample_sweep(df, [("a", "zz", "x")], [-2.0], "note")
+
+
+def test_scores_are_exact_fractions():
+    from fractions import Fraction
+
+    # 2 - 2.5 / (1 - 0.126) * d / 6, and 2 - 2.25 / (1 - 0.588) * (1 - shared / joint) - 0.4068
+    assert [Fraction(int(x), alignment.UNIT) for x in alignment.INTERVALS[:8]] == [2 - Fraction(2500, 874) * min(Fraction(1), Fraction(d, 6)) for d in range(8)]
+    assert Fraction(int(alignment.CHORDS[5][6]), alignment.UNIT) == 2 - Fraction(2250, 412) * Fraction(5, 6) - Fraction(4068, 10000)
+
+
+@pytest.mark.parametrize("kind", ["note", "chord"])
+@pytest.mark.parametrize("method", alignment.METHODS)
+def test_lanes_score_as_songs_by_themselves(kind, method):
+    rng = np.random.default_rng(8)
+    draw = lambda n: rng.integers(0, 108, n) if kind == "chord" else rng.integers(-300, 300, n) // rng.integers(1, 60, n)
+    kernel = alignment.best_scores if method == "smith_waterman" else alignment.end_scores
+    wide = set()
+    for most in (0, 1, 9, 40, 700):
+        seqs, rows = [draw(n) for n in (*rng.integers(0, most + 1, 3), most)], [draw(n) for n in (0, 1, 17, 60)]
+        lanes = alignment._Lanes(kind, method, seqs)
+        got = alignment.lane_scores(method, rows, lanes)
+        wide.add(lanes.dtype)
+        for i, a in enumerate(rows):
+            for j, b in enumerate(seqs):
+                assert got[i, :, j].tolist() == [int(kernel(kind, a, b, np.zeros(len(b), np.int64), 1, t)[0]) for t in range(lanes.shifts)]
+    assert wide == ({np.int32, np.int64} if kind == "chord" else {np.int32})
