@@ -359,3 +359,14 @@ def test_lanes_score_as_songs_by_themselves(kind, method):
             for j, b in enumerate(seqs):
                 assert got[i, :, j].tolist() == [int(kernel(kind, a, b, np.zeros(len(b), np.int64), 1, t)[0]) for t in range(lanes.shifts)]
     assert wide == ({np.int32, np.int64} if kind == "chord" else {np.int32})
+
+
+def test_pairs_are_not_moved_to_their_songs(spark):
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = leave_one_out(spark.createDataFrame([("a", "b", 1.0), ("a", "c", 2.0), ("b", "c", 4.0)], "song_a string, song_b string, x double"), "x")
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" not in plan and "Exchange hashpartitioning" not in plan
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
