@@ -370,3 +370,13 @@ def test_pairs_are_not_moved_to_their_songs(spark):
         assert "SortMergeJoin" not in plan and "Exchange hashpartitioning" not in plan
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+
+
+def test_equal_scores_of_shuffles_have_no_spread():
+    import pandas as pd
+
+    from cantus.plans.alignment import _permutation_rows
+
+    pdf = pd.DataFrame({"song_a": ["a"], "song_b": ["b"], "symbols_a": [[14] * 7], "symbols_b": [[14, 26, 14] * 3]})
+    row = next(_permutation_rows("chord", 20, 42)([pdf])).iloc[0]
+    assert row.null_sd == 0 and row.z_score == 0 and row.raw_score == row.null_mean
